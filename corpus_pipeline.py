@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshset.llm import exact_dedup, packing, simhash
+from meshset.llm import exact_dedup, packing, quality, simhash
 from meshset.llm.common import materialise
-from meshset.llm.queries import tokenizer
+from meshset.llm.queries import table, tokenizer
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from the labels, rejects go."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +29,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer("word_bpe_49k.json"), capacity=2048)
 
 
-STAGES = [("exact dedup", drop_copies), ("simhash near-dedup", drop_near_copies), ("best-fit packing", pack)]
+STAGES = [("quality classifier", keep_good), ("exact dedup", drop_copies), ("simhash near-dedup", drop_near_copies), ("best-fit packing", pack)]
 
-#: Hashes and tokenizers are beyond SQL; tests/llm holds the stages against brute force.
+#: A learned score, hashes and tokenizers are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

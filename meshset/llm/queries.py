@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshset.llm import bpe_codec, exact_dedup, packing, sharding, simhash, token_counts
+from meshset.llm import bpe_codec, exact_dedup, katz, nn_descent, packing, quality, sharding, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,14 +30,27 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=2048)
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -46,7 +59,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), sharding.topology(8), sharding.topology(9))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op3_packing, op5_token_counts, op7_bpe_codec, op9_exact_dedup, op10_sharding)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_simhash, op3_packing, op4_nn_descent, op5_token_counts, op6_quality,
+        op7_bpe_codec, op8_katz, op9_exact_dedup, op10_sharding,
+    )
+}
 
 ORACLE: dict[str, str] = {
     "op9_exact_dedup": r"""
