@@ -16,12 +16,14 @@ import gc
 import json
 import unicodedata
 from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 
 import regex
 
 #: White space as the tokenizer libraries' patterns take it (fixed values).
 WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+END_OF_WORD, EMIT = 256, 512
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 
 
@@ -50,16 +52,59 @@ class Vocabulary:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank[self.ids[a], self.ids[b]] = r
             self.made.setdefault(self.ids[a + b], (self.ids[a], self.ids[b], r))
-        self.heads = {s[:k] for s in self.ids for k in range(len(s.removesuffix(self.suffix)) + (1 if s.endswith(self.suffix) and self.suffix else 0)) if k}
         self.longest = max(len(s.removesuffix(self.suffix)) for s in self.ids)
         table = byte_alphabet()
-        self.letters = {b: table[b] for b in range(256)}
         self.bytes_of = {c: b for b, c in table.items()}
         self.width = [0] * (1 + max(self.strings))
         for i, t in self.strings.items():
             self.width[i] = len(t) - (len(self.suffix) if self.suffix and t.endswith(self.suffix) else 0)
         self._edge: tuple[dict, dict] = ({}, {})
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
+        self._compile_trie()
+
+    def _compile_trie(self) -> None:
+        """All tokens as paths of symbols: a byte, or 256 more for the byte that ends a word with the suffix."""
+        goto: dict[int, int] = {}
+        token, depth, parent = [-1], [0], [(0, 0)]
+        for text, i in self.ids.items():
+            ends = bool(self.suffix) and text.endswith(self.suffix)
+            symbols = [self.bytes_of[c] for c in (text.removesuffix(self.suffix) if ends else text)]
+            if ends:
+                symbols[-1] += END_OF_WORD
+            node = 0
+            for c in symbols:
+                child = goto.get(node << 9 | c)
+                if child is None:
+                    child = goto[node << 9 | c] = len(token)
+                    token.append(-1)
+                    depth.append(depth[node] + 1)
+                    parent.append((node, c))
+                node = child
+            token[node] = i
+        n = len(token)
+        self.goto, self.token, self.depth = goto, token, depth
+        self.fail, self.shorter = [0] * n, [0] * n  # the longest shorter suffix on the trie; the longest one that is a token
+        leaf = [True] * n
+        for node in sorted(range(1, n), key=depth.__getitem__):
+            up, c = parent[node]
+            leaf[up] = False
+            if up:
+                self.fail[node] = f = self.advance(self.fail[up], c)
+                self.shorter[node] = f if token[f] >= 0 else self.shorter[f]
+        self.reach = list(range(n))  # the longest suffix that a longer token may still begin with
+        for node in sorted(range(1, n), key=depth.__getitem__):
+            if leaf[node]:
+                self.reach[node] = self.reach[self.fail[node]]
+
+    def advance(self, node: int, symbol: int) -> int:
+        goto, fail = self.goto, self.fail
+        while True:
+            to = goto.get(node << 9 | symbol)
+            if to is not None:
+                return to
+            if not node:
+                return 0
+            node = fail[node]
 
     @property
     def lookahead(self) -> int:
@@ -87,84 +132,77 @@ class Vocabulary:
         exist at the time of the merge of both: before either is absorbed, where
         of two merges of one rank the left one goes first.
         """
-        key = (a, b)
+        key = a << 20 | b
         got = self._apart.get(key)
         if got is None:
             rank = self.rank
             got = not any((q := rank.get((x, y))) is not None and q < px and q <= py for x, px in self._spine(a, 1) for y, py in self._spine(b, 0))
-            if len(self._apart) > 500_000:
+            if len(self._apart) > 300_000:
                 self._apart.clear()
             self._apart[key] = got
         return got
 
 
-class State:
-    __slots__ = ("count", "next", "tokens", "window")
-
-    def __init__(self, window: str, tokens: tuple, count: tuple):
-        self.window, self.tokens, self.count, self.next = window, tokens, count, {}
-
-
 class Machine:
     """The deterministic transducer of a merge list, one state per distinct window.
 
-    A transition is (next state, last token, emitted): ``emitted`` is by how much
-    the number of tokens of what was read changes, so it sums to the token count.
-    States are kept up to ``max_states`` and then built anew; results don't depend on that.
+    A state is a node of the trie of all tokens (the longest suffix that a later
+    token may begin with) and, for each position that this suffix covers, the last
+    token of the encoding that ends there and its token count, relative to the
+    present one.  A transition holds the next state, the last token and
+    ``emitted``: by how much the number of tokens of what was read changes, so
+    that it sums to the token count.  All are numbers, kept in two tables of up to
+    ``max_states`` states and then built anew; results don't depend on that.
     """
 
-    def __init__(self, vocab: Vocabulary, max_states: int = 120_000):
+    def __init__(self, vocab: Vocabulary, max_states: int = 300_000):
         self.v, self.max_states = vocab, max_states
         self.reset()
 
     def reset(self) -> None:
-        self.start = State("", (None,), (0,))
-        self.states = {("", (None,), (0,)): self.start}
-
-    def step(self, state: State, symbol: str) -> tuple[State, int, int]:
-        got = state.next.get(symbol)
-        if got is None:
-            got = state.next[symbol] = self._build(state, symbol)
+        first = array("i", [0, -1, 0]).tobytes()
+        self.states, self.ids = [first], {first: 0}
+        self.next: dict[int, int] = {}
+
+    def build(self, state: int, symbol: int) -> int:
+        """Work out one transition and keep it: next state << 27 | last token << 10 | emitted + EMIT."""
+        v = self.v
+        node, *window = array("i", self.states[state])
+        n = len(window) // 2
+        tokens, counts = window[:n], window[n:]
+        full = v.advance(node, symbol)
+        k = full if v.token[full] >= 0 else v.shorter[full]
+        while True:  # the longest candidate first; exactly one fits
+            t, size = v.token[k], v.depth[k]
+            if tokens[-size] < 0 or v.apart(tokens[-size], t):
+                break
+            k = v.shorter[k]
+        emitted = counts[-size] + 1
+        to = 0
+        if symbol < END_OF_WORD:
+            node = v.reach[full]
+            keep = v.depth[node] + 1
+            key = array("i", [node, *[*tokens, t][-keep:], *[c - emitted for c in [*counts, emitted][-keep:]]]).tobytes()
+            to = self.ids.get(key)
+            if to is None:
+                to = self.ids[key] = len(self.states)
+                self.states.append(key)
+        got = self.next[state << 9 | symbol] = to << 27 | t << 10 | emitted + EMIT
         return got
 
-    def _build(self, state: State, symbol: str) -> tuple[State, int, int]:
-        v, window, tokens = self.v, state.window, state.tokens
-        n = len(window)
-        for k in range(n + 1):  # the longest candidate first; exactly one fits
-            t = v.ids.get(window[k:] + symbol)
-            if t is not None and (tokens[k] is None or v.apart(tokens[k], t)):
-                break
-        else:
-            raise ValueError(f"no token for {symbol!r}")
-        total = state.count[k] + 1
-        emitted = total - state.count[-1]
-        if v.suffix and symbol.endswith(v.suffix):
-            return self.start, t, emitted
-        longer = window + symbol
-        cut = 0
-        while cut < len(longer) and longer[cut:] not in v.heads:
-            cut += 1
-        keep = longer[cut:]
-        ts = (*tokens, t)[-len(keep) - 1 :]
-        cs = tuple(c - total for c in (*state.count, total)[-len(keep) - 1 :])
-        key = (keep, ts, cs)
-        new = self.states.get(key)
-        if new is None:
-            new = self.states[key] = State(*key)
-        return new, t, emitted
-
-    def count(self, symbols: list[str] | str) -> int:
+    def count(self, symbols: Iterable[int]) -> int:
         """Tokens of one piece: the sum of what its transitions emit."""
         if len(self.states) > self.max_states:
             self.reset()
-        s, total = self.start, 0
+        get, build, s, total, n = self.next.get, self.build, 0, 0, 0
         for c in symbols:
-            hit = s.next.get(c) or self.step(s, c)
-            s = hit[0]
-            total += hit[2]
-        return total
+            hit = get(s << 9 | c) or build(s, c)
+            s = hit >> 27
+            total += hit & 1023
+            n += 1
+        return total - EMIT * n
 
-    def encode(self, symbols: list[str] | str) -> list[int]:
+    def encode(self, symbols: list[int] | bytes) -> list[int]:
         """Ids of one piece, emitted as soon as no later symbol can change them.
 
         Positions further back than the lookahead are settled once the chains of
@@ -173,19 +211,13 @@ class Machine:
         """
         if len(self.states) > self.max_states:
             self.reset()
-        s, limit = self.start, 8 * self.v.longest
+        get, build, s, limit = self.next.get, self.build, 0, 8 * self.v.longest
         last: list[int] = []  # last[i]: the last token after i + 1 symbols that aren't emitted yet
-        if len(symbols) < limit:
-            for c in symbols:
-                hit = s.next.get(c) or self.step(s, c)
-                s = hit[0]
-                last.append(hit[1])
-            return self._back(last, len(last))
         out: list[int] = []
         for c in symbols:
-            hit = s.next.get(c) or self.step(s, c)
-            s = hit[0]
-            last.append(hit[1])
+            hit = get(s << 9 | c) or build(s, c)
+            s = hit >> 27
+            last.append(hit >> 10 & 131071)
             if len(last) >= limit:
                 live = set(range(max(0, len(last) - self.v.lookahead), len(last) + 1))
                 while len(live) > 1:
@@ -196,6 +228,11 @@ class Machine:
                 out += self._back(last, stable)
                 last = last[stable:]
                 limit = len(last) + 8 * self.v.longest
+                if len(self.states) > self.max_states:  # the state goes on in a fresh table
+                    here = self.states[s]
+                    self.reset()
+                    s = self.ids.setdefault(here, 1)
+                    self.states.append(here)
         return out + self._back(last, len(last))
 
     def _back(self, last: list[int], end: int) -> list[int]:
@@ -218,7 +255,7 @@ class WordBpe:
 
     PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, path: str, kept: int = 350_000):
+    def __init__(self, path: str, kept: int = 180_000):
         self.v = Vocabulary(path)
         kinds = [n["type"] for n in (self.v.spec["normalizer"] or {}).get("normalizers", [])]
         if kinds != ["NFC", "Replace", "Lowercase"] or not self.v.suffix:
@@ -229,9 +266,8 @@ class WordBpe:
         self.pieces = _Table(self._piece, kept)
 
     def _piece(self, piece: str) -> bytes:
-        letters = self.v.letters
-        symbols = [letters[b] for b in piece.encode("utf-8")]
-        symbols[-1] += self.v.suffix
+        symbols = [*piece.encode("utf-8")]
+        symbols[-1] += END_OF_WORD
         return array("I", self.machine.encode(symbols)).tobytes()
 
     def _run(self, run: str) -> bytes:
@@ -239,17 +275,23 @@ class WordBpe:
             return self.pieces[run]
         return b"".join(map(self.pieces.__getitem__, self.PIECE.findall(run)))
 
-    def _plain(self, text: str) -> bytes:
+    def runs(self, text: str) -> list[str]:
+        """The normalised text's runs of characters other than white space."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
-        words = regex.split(f"[{WS}]+", text) if _ODD_SPACE.search(text) else text.split()
-        return b"".join(map(self.table.__getitem__, words))
+        return [w for w in regex.split(f"[{WS}]+", text) if w] if _ODD_SPACE.search(text) else text.split()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.table.__getitem__, self.runs(text)))
+
+    def has_special(self, text: str) -> bool:
+        return any(s in text for s in self.v.special)
 
     def ids_bytes(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.special is None or not any(s in text for s in self.v.special):
+        if not self.has_special(text):
             return self._plain(text)
         parts = self.special.split(text)
         return b"".join(self.v.special[p].to_bytes(4, "little") if k % 2 else self._plain(p) for k, p in enumerate(parts))
@@ -271,8 +313,7 @@ class ByteBpe:
         self.table = _Table(self.count_unit, kept)
 
     def count_piece(self, piece: str) -> int:
-        letters = self.v.letters
-        return self.machine.count([letters[b] for b in piece.encode("utf-8")])
+        return self.machine.count(piece.encode("utf-8"))
 
     def count_unit(self, unit: str) -> int:
         return sum(map(self.count_piece, self.PIECE.findall(unit)))
@@ -305,3 +346,4 @@ def byte_bpe(path: str) -> ByteBpe:
     """One per worker process."""
     gc.set_threshold(500_000, 20, 100)
     return ByteBpe(path)
+

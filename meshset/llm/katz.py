@@ -35,7 +35,7 @@ from meshset.llm.common import materialise, record, runs
 
 K = 5
 HOT = 1e-3
-BATCH_TOKENS = 5_000_000
+BATCH_TOKENS = 2_000_000
 END, BEGIN = 1, (1 << 32) - 1
 #: Words are known by 64-bit hashes; ids that shards deal are below BEGIN.
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

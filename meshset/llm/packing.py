@@ -145,8 +145,8 @@ def pieces(df: DataFrame, path: str, capacity: int, id_col: str, text_col: str)
         bpe, seen, pid = word_bpe(path), [0] * (capacity + 1), TaskContext.get().partitionId()
         for b in batches:
             out: dict[str, list] = {x.split()[0]: [] for x in PIECES.split(", ")}
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = memoryview(bpe.ids_bytes(text) + b"\0\0\0\0")
+            for doc, ids in zip(b.column(0).to_pylist(), map(bpe.ids_bytes, b.column(1).to_pylist()), strict=True):
+                ids = memoryview(ids + b"\0\0\0\0")
                 total = len(ids) // 4
                 for k, start in enumerate(range(0, total, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshset.llm import bpe_codec, exact_dedup, katz, nn_descent, packing, quality, sharding, simhash, token_counts
+from meshset.llm import bpe_codec, exact_dedup, katz, licenses, nn_descent, packing, quality, sharding, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), radius=3, words=3)
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), least=0.8)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=2048)
 
@@ -62,7 +66,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_simhash, op3_packing, op4_nn_descent, op5_token_counts, op6_quality,
+        op1_simhash, op2_licenses, op3_packing, op4_nn_descent, op5_token_counts, op6_quality,
         op7_bpe_codec, op8_katz, op9_exact_dedup, op10_sharding,
     )
 }
