@@ -35,7 +35,7 @@ from meshset.llm.common import materialise, record, runs
 
 K = 5
 HOT = 1e-3
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_250_000
 END, BEGIN = 1, (1 << 32) - 1
 #: Words are known by 64-bit hashes; ids that shards deal are below BEGIN.
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -110,11 +110,14 @@ class _Numbers(dict):
         return n
 
 
-BATCHES = "batch long, doc_ids array<long>, held array<int>, sizes array<int>, tokens binary, words binary, counts binary"
+BATCHES = "batch long, doc_ids array<long>, held array<int>, sizes array<int>, tokens binary, ends int, words binary, counts binary"
 
 
-def tokenise(df: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
-    """Batches of whole documents with at most ``most`` tokens, or one document; local number 0 is the end token."""
+def tokenise(df: DataFrame, id_col: str, text_col: str, most: int, shards: int) -> DataFrame:
+    """Batches of whole documents with at most ``most`` tokens, or one document.
+
+    Words are numbered in the order of their shards; ``ends`` is the end token's number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() << 24
@@ -123,9 +126,13 @@ def tokenise(df: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             tokens = np.concatenate(parts)
             train = np.repeat(1 - np.array(held), sizes)
-            hashes = [END, *(max(xxh64_intdigest(w), 2) for w in list(numbers)[1:])]
+            hashes = np.array([END, *(max(xxh64_intdigest(w), 2) for w in list(numbers)[1:])], "<u8")
+            order = np.argsort(hashes % np.uint64(shards), kind="stable")
+            place = np.empty(len(order), "<u4")
+            place[order] = np.arange(len(order))
+            tokens = place[tokens]
             counts = np.bincount(tokens, weights=train, minlength=len(numbers)).astype("<u4")
-            row = {"batch": made, "doc_ids": ids, "held": held, "sizes": sizes, "tokens": squeeze(tokens), "words": squeeze(np.array(hashes, "<u8")), "counts": squeeze(counts)}
+            row = {"batch": made, "doc_ids": ids, "held": held, "sizes": sizes, "tokens": squeeze(tokens), "ends": place[0], "words": squeeze(hashes[order]), "counts": squeeze(counts)}
             return record({k: [v] for k, v in row.items()}, BATCHES)
 
         for b in batches:
@@ -155,11 +162,6 @@ def _dealt(shard: np.ndarray, order: np.ndarray) -> list[tuple[int, np.ndarray]]
     return [(int(shard[p[0]]), p) for p in np.split(order, cuts) if len(p)]
 
 
-def _word_shards(words: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
-    shard = (words % np.uint64(shards)).astype(np.int64)
-    return _dealt(shard, np.argsort(shard, kind="stable"))
-
-
 WORD_ANSWERS = "kind int, batch long, shard int, ids binary, totals binary, stats array<long>"
 
 
@@ -171,7 +173,7 @@ def count_words(batches: DataFrame, shards: int) -> DataFrame:
         for b in rows:
             for batch, w, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 words, counts = expand(w, "<u8"), expand(c, "<u4")
-                got = _word_shards(words, shards)
+                got = _dealt((words % np.uint64(shards)).astype(np.int64), np.arange(len(words)))
                 yield record({"shard": [s for s, _ in got], "batch": [batch] * len(got), "words": [squeeze(words[p]) for _, p in got], "counts": [squeeze(counts[p]) for _, p in got]}, sent)
 
     def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,19 +201,16 @@ def count_words(batches: DataFrame, shards: int) -> DataFrame:
 class Local:
     """A batch with what the shards know of its words: global ids, totals, and its distinct bigrams."""
 
-    def __init__(self, sizes: list[int], held: list[int], tokens: bytes, words: bytes, answers: list, shards: int, hot: float):
-        self.tokens = expand(tokens, "<u4").astype(np.int64)
-        hashes = expand(words, "<u8")
-        n = len(hashes)
-        self.sizes = np.array(sizes, np.int64)
+    def __init__(self, r: dict, shards: int, hot: float):
+        self.tokens = expand(r["tokens"], "<u4").astype(np.int64)
+        self.sizes, self.held = np.array(r["sizes"], np.int64), np.array(r["held"], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.train = np.repeat(1 - np.array(held), self.sizes)
-        self.ids, self.totals = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-        by_shard = {a["shard"]: a for a in answers}
-        for s, p in _word_shards(hashes, shards):
-            self.ids[p] = expand(by_shard[s]["ids"], "<u4")
-            self.totals[p] = expand(by_shard[s]["totals"], "<i8")
-        self.ids[n], self.totals[n] = BEGIN, self.totals[0]  # as many begins as ends
+        answers = sorted(r["answers"], key=lambda a: a["shard"])
+        self.ids = np.concatenate([*(expand(a["ids"], "<u4") for a in answers), [BEGIN]]).astype(np.int64)
+        totals = [expand(a["totals"], "<i8") for a in answers]
+        self.totals = np.append(np.concatenate(totals), 0)
+        self.totals[-1] = self.totals[r["ends"]]  # as many begins as ends
+        n = len(self.ids) - 1
         before = np.concatenate([[n], self.tokens[:-1]])
         before[self.starts] = n
         kinds, self.at = np.unique(before * (n + 1) + self.tokens, return_inverse=True)
@@ -247,8 +246,8 @@ def count_bigrams(batches: DataFrame, shards: int, words: Unigrams) -> DataFrame
 
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(rows):
-            b = Local(r["sizes"], r["held"], r["tokens"], r["words"], r["answers"], shards, HOT * words.total)
-            counts = np.bincount(b.at, weights=b.train, minlength=len(b.first)).astype("<u4")
+            b = Local(r, shards, HOT * words.total)
+            counts = np.bincount(b.at, weights=np.repeat(1 - b.held, b.sizes), minlength=len(b.first)).astype("<u4")
             for k in range(0, len(b.parts), 64):
                 out: dict[str, list] = {x.split()[0]: [] for x in sent.split(", ")}
                 for s, p in b.parts[k : k + 64]:
@@ -308,7 +307,7 @@ def scores(batches: DataFrame, shards: int, words: Unigrams, discounts: Discount
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(rows):
-            b = Local(r["sizes"], r["held"], r["tokens"], r["words"], r["answers"], shards, HOT * words.total)
+            b = Local(r, shards, HOT * words.total)
             heads, seen, count = np.zeros((len(b.ids), K)), np.zeros(len(b.ids)), np.zeros(len(b.first), np.int64)
             by_shard = {a["shard"]: a for a in r["bigrams"]}
             for s, p in b.parts:
@@ -351,12 +350,12 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: i
     whatever their names, are not read; an empty table gives an empty result.
     """
     shards = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    batches = materialise(tokenise(df, id_col, text_col, most), "batches")
+    batches = materialise(tokenise(df, id_col, text_col, most, shards), "batches")
     answers = materialise(count_words(batches, shards), "words")
     kinds, total, *n = _sums(answers, K + 3)
     words = unigrams(total, kinds, n)
     by_batch = answers.where("kind = 0").groupBy("batch").agg(F.collect_list(F.struct("shard", "ids", "totals")).alias("answers"))  # a batch's own words
-    known = batches.drop("counts").join(by_batch, "batch")
+    known = batches.drop("words", "counts").join(by_batch, "batch")
     bigrams = materialise(count_bigrams(known, shards, words), "bigrams")
     discounts = good_turing(_sums(bigrams, K + 1))
     entries = bigrams.where("kind = 2").select(F.explode(F.arrays_zip("ids", "sums")).alias("x"), "stats", "ids")
