@@ -35,7 +35,7 @@ from meshset.llm.common import materialise, record, runs
 
 K = 5
 HOT = 1e-3
-BATCH_TOKENS = 1_250_000
+BATCH_TOKENS = 1_000_000
 END, BEGIN = 1, (1 << 32) - 1
 #: Words are known by 64-bit hashes; ids that shards deal are below BEGIN.
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -104,6 +104,11 @@ def unigrams(total: int, kinds: int, n: list[int]) -> Unigrams:
     return Unigrams(total, kinds, discounts, 1.0, freed)
 
 
+def _slices(b: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for k in range(0, b.num_rows, rows):
+        yield b.slice(k, rows)
+
+
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
@@ -135,7 +140,7 @@ def tokenise(df: DataFrame, id_col: str, text_col: str, most: int, shards: int)
             row = {"batch": made, "doc_ids": ids, "held": held, "sizes": sizes, "tokens": squeeze(tokens), "ends": place[0], "words": squeeze(hashes[order]), "counts": squeeze(counts)}
             return record({k: [v] for k, v in row.items()}, BATCHES)
 
-        for b in batches:
+        for b in (part for whole in batches for part in _slices(whole)):
             for i, h, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = (text or "").encode("utf-8").lower().split()
                 if ids and total + len(words) + 1 > most:
@@ -300,6 +305,7 @@ def _rows(rows: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in rows:
         for k in range(b.num_rows):
             yield b.slice(k, 1).to_pylist()[0]
+            pa.default_memory_pool().release_unused()
 
 
 def scores(batches: DataFrame, shards: int, words: Unigrams, discounts: Discounts, hot: dict[int, tuple[np.ndarray, float]]) -> DataFrame:
