@@ -255,7 +255,7 @@ class WordBpe:
 
     PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, path: str, kept: int = 450_000):
+    def __init__(self, path: str, kept: int = 700_000):
         self.v = Vocabulary(path)
         kinds = [n["type"] for n in (self.v.spec["normalizer"] or {}).get("normalizers", [])]
         if kinds != ["NFC", "Replace", "Lowercase"] or not self.v.suffix:
@@ -263,7 +263,7 @@ class WordBpe:
         self.machine = Machine(self.v)
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.v.special)) + ")") if self.v.special else None
         self.table = _Table(self._run, kept)
-        self.pieces = _Table(self._piece, kept // 2)
+        self.pieces = _Table(self._piece, 300_000)
 
     def _piece(self, piece: str) -> bytes:
         symbols = [*piece.encode("utf-8")]

@@ -29,10 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a plan without lineage."""
+def materialise(df: DataFrame, tag: str, arrow_rows: int = 0) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a plan without lineage.
+
+    ``arrow_rows`` bounds the rows of an Arrow batch while it is written, for wide rows.
+    """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = df.sparkSession.conf.get(key)
+    try:
+        if arrow_rows:
+            df.sparkSession.conf.set(key, str(arrow_rows))
+        df.write.parquet(path)
+    finally:
+        df.sparkSession.conf.set(key, before)
     _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

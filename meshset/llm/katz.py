@@ -104,11 +104,6 @@ def unigrams(total: int, kinds: int, n: list[int]) -> Unigrams:
     return Unigrams(total, kinds, discounts, 1.0, freed)
 
 
-def _slices(b: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for k in range(0, b.num_rows, rows):
-        yield b.slice(k, rows)
-
-
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
@@ -140,7 +135,7 @@ def tokenise(df: DataFrame, id_col: str, text_col: str, most: int, shards: int)
             row = {"batch": made, "doc_ids": ids, "held": held, "sizes": sizes, "tokens": squeeze(tokens), "ends": place[0], "words": squeeze(hashes[order]), "counts": squeeze(counts)}
             return record({k: [v] for k, v in row.items()}, BATCHES)
 
-        for b in (part for whole in batches for part in _slices(whole)):
+        for b in batches:
             for i, h, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = (text or "").encode("utf-8").lower().split()
                 if ids and total + len(words) + 1 > most:
@@ -356,17 +351,17 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: i
     whatever their names, are not read; an empty table gives an empty result.
     """
     shards = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    batches = materialise(tokenise(df, id_col, text_col, most, shards), "batches")
-    answers = materialise(count_words(batches, shards), "words")
+    batches = materialise(tokenise(df, id_col, text_col, most, shards), "batches", arrow_rows=512)
+    answers = materialise(count_words(batches, shards), "words", arrow_rows=8)
     kinds, total, *n = _sums(answers, K + 3)
     words = unigrams(total, kinds, n)
     by_batch = answers.where("kind = 0").groupBy("batch").agg(F.collect_list(F.struct("shard", "ids", "totals")).alias("answers"))  # a batch's own words
     known = batches.drop("words", "counts").join(by_batch, "batch")
-    bigrams = materialise(count_bigrams(known, shards, words), "bigrams")
+    bigrams = materialise(count_bigrams(known, shards, words), "bigrams", arrow_rows=8)
     discounts = good_turing(_sums(bigrams, K + 1))
     entries = bigrams.where("kind = 2").select(F.explode(F.arrays_zip("ids", "sums")).alias("x"), "stats", "ids")
     at = F.array_position("ids", F.col("x.ids")).cast("int") - 1
     sums = entries.groupBy(F.col("x.ids").alias("id")).agg(F.sum("x.sums").alias("seen"), *[F.sum(F.col("stats")[at * K + k]).alias(f"n{k}") for k in range(K)])
     hot = {r[0]: (np.array(r[2:], float), r[1]) for r in sums.collect()}  # at most 1 / HOT words and the begin
     per_batch = bigrams.where("kind = 0").groupBy("batch").agg(F.collect_list(F.struct("shard", "counts", "heads", "seen")).alias("bigrams"))
-    return scores(known.join(per_batch, "batch"), shards, words, discounts, hot)
+    return materialise(scores(known.join(per_batch, "batch"), shards, words, discounts, hot), "scores", arrow_rows=1)
