@@ -147,15 +147,18 @@ def near_dedup(df: DataFrame, radius: int = 3, words: int = 3, id_col: str = "do
     """
     docs = materialise(fingerprints(df, id_col, text_col, words), "fingerprints")
     owner = classes(docs, radius)
-    # most rows stay, so what leaves is the smaller side; rows that may leave or repeat are told apart by id and fingerprint
-    marked = docs.join(owner, "fp").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = materialise(marked.where("stays").groupBy("doc_id").agg(F.count("*").alias("times")).select(F.col("doc_id").alias("s_id"), "times"), "stays")
+    per_id = docs.join(owner, "fp").groupBy("doc_id").agg(F.count("*").alias("times"), F.count_if(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stay"))
+    # most rows stay, so the table of ids that don't, or that occur more than once, is the small side
+    odd = materialise(per_id.where("times > 1 or stay = 0").select(F.col("doc_id").alias("s_id"), "times"), "odd")
     rows = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("s_doc"), F.col(text_col).cast("string").alias("s_text"))
-    kept = rows.join(stays, F.col("s_doc").eqNullSafe(F.col("s_id")))
-    once = kept.where("times = 1").select("row.*")
-    again = kept.where("times > 1")
-    # repeated ids: one row for each of their components, found by fingerprint
-    first = Window.partitionBy("s_doc", "component_id").orderBy(F.desc(F.length("s_text")), F.xxhash64("s_text"))
+    same = F.col("s_doc").eqNullSafe(F.col("s_id"))
+    once = rows.join(odd, same, "left_anti").select("row.*")
+    repeated = odd.where("times > 1")
+    if repeated.isEmpty():
+        return once
+    # repeated ids: one row for each id whose component it names, found by fingerprint
+    again = materialise(rows.join(repeated, same, "left_semi"), "again")
+    first = Window.partitionBy("s_doc").orderBy(F.desc(F.length("s_text")), F.xxhash64("s_text"))
     more = _with_fp(again, words).join(owner, "fp").where(F.col("s_doc").eqNullSafe(F.col("component_id")))
     return once.unionByName(more.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*"))
 
