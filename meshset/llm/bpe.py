@@ -263,7 +263,7 @@ class WordBpe:
         self.machine = Machine(self.v)
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.v.special)) + ")") if self.v.special else None
         self.table = _Table(self._run, kept)
-        self.pieces = _Table(self._piece, 300_000)
+        self.pieces = _Table(self._piece, kept // 2)
 
     def _piece(self, piece: str) -> bytes:
         symbols = [*piece.encode("utf-8")]
@@ -335,10 +335,10 @@ class _Table(dict):
 
 
 @lru_cache(maxsize=4)
-def word_bpe(path: str) -> WordBpe:
-    """One per worker process."""
+def word_bpe(path: str, kept: int = 700_000) -> WordBpe:
+    """One per worker process and size of its word table; the size changes speed and memory, not results."""
     gc.set_threshold(500_000, 20, 100)  # the tables are many small objects without cycles
-    return WordBpe(path)
+    return WordBpe(path, kept)
 
 
 @lru_cache(maxsize=4)
