@@ -144,14 +144,14 @@ def set_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.intersection(*_bags(spark, sf_dir))
 
 
-@query("SELECT p_name AS value FROM part WHERE regexp_matches(p_name, '[[:digit:]]*[13579] *$')")
+@query("SELECT p_name AS value FROM part WHERE regexp_matches(p_name, '[[:lower:]]+ [bg]')")
 def regex_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sets.matching(sample.read(spark, sf_dir, "part").select(F.col("p_name").alias("value")), "[[:digit:]]*[13579] *$")
+    return sets.matching(sample.read(spark, sf_dir, "part").select(F.col("p_name").alias("value")), "[[:lower:]]+ [bg]")
 
 
-@query("SELECT p_name AS value FROM part WHERE NOT regexp_matches(p_name, '[[:digit:]]*[13579] *$')")
+@query("SELECT p_name AS value FROM part WHERE NOT regexp_matches(p_name, '[[:lower:]]+ [bg]')")
 def regex_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sets.matching(sample.read(spark, sf_dir, "part").select(F.col("p_name").alias("value")), "[[:digit:]]*[13579] *$", keep=False)
+    return sets.matching(sample.read(spark, sf_dir, "part").select(F.col("p_name").alias("value")), "[[:lower:]]+ [bg]", keep=False)
 
 
 @query("SELECT 'host' || lpad(CAST(i AS VARCHAR), 5, '0') || 'x' AS value FROM generate_series(7, 20000) AS t(i)")
