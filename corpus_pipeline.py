@@ -26,7 +26,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of what is left lies in sequences of at most 2048 tokens."""
-    return packing.pack(docs, tokenizer("word_bpe_49k.json"), capacity=2048, kept=250_000)
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"), capacity=2048, kept=250_000, forget=True)
 
 
 STAGES = [("quality classifier", keep_good), ("exact dedup", drop_copies), ("simhash near-dedup", drop_near_copies), ("best-fit packing", pack)]

@@ -275,6 +275,13 @@ class WordBpe:
             return self.pieces[run]
         return b"".join(map(self.pieces.__getitem__, self.PIECE.findall(run)))
 
+    def forget(self) -> None:
+        """Start all tables anew, where other work follows in the same process."""
+        self.table.clear()
+        self.pieces.clear()
+        self.machine.reset()
+        self.v._apart.clear()
+
     def runs(self, text: str) -> list[str]:
         """The normalised text's runs of characters other than white space."""
         if not text.isascii():

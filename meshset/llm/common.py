@@ -78,13 +78,19 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema
     target = pa.schema([(n, ARROW[t]) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows and (out := fn(b)) is not None:
+        for b in (part for whole in batches for part in slices(whole)):
+            if (out := fn(b)) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
 
 
+def slices(b: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """A batch in small parts, so that few of its texts are Python objects at a time."""
+    for k in range(0, b.num_rows, rows):
+        yield b.slice(k, rows)
+
+
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(),
     "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()),

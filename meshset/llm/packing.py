@@ -138,7 +138,7 @@ def places(patterns: list[Pattern], counts: dict[int, int]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pieces(df: DataFrame, path: str, capacity: int, id_col: str, text_col: str, kept: int) -> DataFrame:
+def pieces(df: DataFrame, path: str, capacity: int, id_col: str, text_col: str, kept: int, forget: bool) -> DataFrame:
     """Tokenize; cut only what is longer than a sequence; number pieces of each length within the partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,21 +156,24 @@ def pieces(df: DataFrame, path: str, capacity: int, id_col: str, text_col: str,
                     for c, x in zip(out.values(), row, strict=True):
                         c.append(x)
             yield record(out, PIECES)
+        if forget:
+            bpe.forget()
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def pack(df: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", kept: int = 700_000) -> DataFrame:
+def pack(df: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", kept: int = 700_000, forget: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Each text's ids are followed by id 0; a null text is empty and packs as that
     one id.  Repeated rows are packed once each; null ids stay null; an empty
     table gives an empty result; other columns, whatever their names, are not
     read.  The texts are tokenized once, into a narrow scratch table; ``kept`` is
-    how many words' ids a worker holds, which changes speed and memory only.
+    how many words' ids a worker holds, which changes speed and memory only;
+    with ``forget`` it drops them at the end of each task.
     """
     spark = df.sparkSession
-    rows = materialise(pieces(df, path, capacity, id_col, text_col, kept), "pieces", arrow_rows=2048)
+    rows = materialise(pieces(df, path, capacity, id_col, text_col, kept, forget), "pieces", arrow_rows=2048)
     by_part = rows.groupBy("length", "pid").agg(F.count("*").alias("n"))
     counts = {int(r[0]): int(r[1]) for r in by_part.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     table = spark.sparkContext.broadcast(places(plan(counts, capacity), counts))

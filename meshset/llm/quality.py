@@ -18,7 +18,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshset.llm.common import arrow_map, record
+from meshset.llm.common import arrow_map, record, slices
 
 WIDTH, EMBED, FILTERS = 7, 6, 32
 STEP, SPAN = 32, 16  # a chunk has SPAN steps of STEP windows; neighbouring chunks share one step
@@ -191,7 +191,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             yield b.filter(pa.array([score(m, x) >= least for x in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
