@@ -80,4 +80,30 @@ ORACLE: dict[str, str] = {
                    FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id))
         SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM r
     """,
+    # every pair of a label in full, then everything reachable by links
+    "op4_nn_descent": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+             good AS (SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+                                        AND len(list_filter(e, lambda x: x <> 0)) > 0),
+             links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+                       WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+             reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+             least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+             counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM v JOIN least ON least.a = vec_id LEFT JOIN counts ON counts.a = vec_id
+    """,
+    # all weights are 1, so the smallest draw is that of the largest hash; the checksum is built bit by bit from its polynomial
+    "op10_sharding": """
+        WITH steps AS (SELECT list(c ORDER BY i) AS crc FROM (
+                 SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+             d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
+                          xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+                                          lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) AS text_crc32,
+                          list_transform(range(9), lambda s: CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '@' || (s // 4) || '/' || (s // 2 % 2) || '/' || s), 1, 13) AS BIGINT)) AS draws
+                   FROM documents, steps),
+             p AS (SELECT doc_id, size, text_crc32, CAST(list_position(draws[1:8], list_max(draws[1:8])) - 1 AS INTEGER) AS shard,
+                          CAST(list_position(draws, list_max(draws)) - 1 AS INTEGER) AS grown_shard FROM d)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM p
+    """,
 }
