@@ -75,7 +75,8 @@ def increasing(values: list[int]) -> list[int]:
 
 def common(a: list[str], b: list[str]) -> Pairs:
     """A longest common subsequence, by the usual table over the words that both have."""
-    ia = [i for i, w in enumerate(a) if w in set(b)] if a and b else []
+    known = set(b)
+    ia = [i for i, w in enumerate(a) if w in known]
     if not ia:
         return []
     table = [[0] * (len(b) + 1)]
@@ -113,20 +114,41 @@ def align(a: list[str], b: list[str]) -> Pairs:
     return out
 
 
+def near(pairs: Pairs, n: int, least: float) -> Pairs:
+    """Pairs less an end that lies further apart from the rest than a notice's words do, twice over."""
+    while len(pairs) >= least * n and pairs[-1][0] - pairs[0][0] >= 2 * n:
+        pairs.pop(0 if pairs[1][0] - pairs[0][0] > pairs[-1][0] - pairs[-2][0] else -1)
+    return pairs
+
+
 def find(text: list[str], notice: list[str], probes: list[str], least: float) -> list[tuple[int, int, float]]:
     """Non-overlapping finds (first word, last word, coverage) of a notice, in the order of the text."""
     sought, n, done, out = set(probes), len(notice), -1, []
+    want, held, shared, start, end = Counter(notice), Counter(), 0, 0, 0
     for p in (p for p, w in enumerate(text) if w in sought):
         if p <= done:
             continue
-        low = max(done + 1, p - n)
-        pairs = align(text[low : p + n + 1], notice)
-        # what lies further apart than the notice's words do, twice over, is no notice
-        while len(pairs) >= least * n and pairs[-1][0] - pairs[0][0] >= 2 * n:
-            pairs.pop(0 if pairs[1][0] - pairs[0][0] > pairs[-1][0] - pairs[-2][0] else -1)
+        low, high = max(done + 1, p - n), min(len(text), p + n + 1)
+        # words that window and notice share bound every alignment; the window's counts slide along
+        if low >= end:
+            held, shared, start, end = Counter(), 0, low, low
+        for w in text[end:high]:
+            held[w] += 1
+            shared += held[w] <= want[w]
+        for w in text[start:low]:
+            shared -= held[w] <= want[w]
+            held[w] -= 1
+        start, end = low, high
+        if shared < least * n:
+            continue
+        pairs = near(align(text[low:high], notice), n, least)
         if len(pairs) >= least * n:
-            out.append((low + pairs[0][0], low + pairs[-1][0], len(pairs) / n))
+            # the window may end within the notice: look again from where it starts
+            first = low + pairs[0][0]
+            again = near(align(text[first : first + 2 * n], notice), n, least)
+            low, pairs = (first, again) if len(again) > len(pairs) else (low, pairs)
             done = low + pairs[-1][0]
+            out.append((low + pairs[0][0], done, len(pairs) / n))
     return out
 
 

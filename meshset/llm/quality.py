@@ -138,7 +138,10 @@ def part(id_col: F.Column | str) -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows_per_class: int = ROWS_PER_CLASS) -> list[tuple[list[bytes], int]]:
-    """Chunks and labels of at most ``rows_per_class`` rows of each label, none of them held out, those with the smallest hashes."""
+    """Chunks and labels of at most ``rows_per_class`` ids of each label, none of them held out, those with the smallest hashes.
+
+    An id that several rows have teaches once, however often it is repeated.
+    """
     known = labels.select(F.col(id_col).cast("long").alias("l_id"), F.col(label_col).cast("int").alias("y"))
     known = known.where((part("l_id") != 1) & F.col("y").isin(0, 1)).groupBy("l_id").agg(F.max("y").alias("y"))
     ids = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(rows_per_class).collect()]
@@ -153,8 +156,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
             cuts = [cut(x, i) for i, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield record({"l_id": b.column(0), "y": b.column(1), "sizes": [[len(c) for c in cs] for cs in cuts], "data": [b"".join(cs) for cs in cuts]}, schema)
 
+    once = texts.mapInArrow(run, schema).groupBy("l_id").agg(F.min(F.struct("y", "sizes", "data")).alias("row")).select("l_id", "row.*")
     out = []
-    for r in sorted(texts.mapInArrow(run, schema).collect(), key=lambda r: (r.l_id, bytes(r.data))):
+    for r in sorted(once.collect(), key=lambda r: (r.l_id, bytes(r.data))):
         at = np.cumsum([0, *r.sizes]).tolist()
         out.append(([bytes(r.data[a:b]) for a, b in zip(at, at[1:], strict=False)], r.y))
     return out

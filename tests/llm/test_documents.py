@@ -121,6 +121,15 @@ def test_licenses(docs, rows, empty):
     text = licenses.words("so it is licensed today under the apache license which is version 2 of it")
     pairs = licenses.align(text, licenses.words(licenses.NOTICES["Apache-2.0"]))
     assert [text[i] for i, _ in pairs] == ["licensed", "under", "the", "apache", "license", "version", "2"]
+
+
+def test_license_windows():
+    """A notice after very many of its own words is found whole; a text of those words alone has none."""
+    notice = licenses.words(licenses.NOTICES["MIT grant"])
+    probes = licenses.rarer(notice, 0.8)
+    noise = ["software"] * 100_000
+    assert licenses.find(noise + notice + noise, notice, probes, 0.8) == [(100_000, 100_000 + len(notice) - 1, 1.0)]
+    assert licenses.find(noise, notice, probes, 0.8) == []
     assert all(b > a for (a, _), (b, _) in zip(pairs, pairs[1:], strict=False))
 
 
