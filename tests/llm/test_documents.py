@@ -5,13 +5,15 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from meshset.llm import exact_dedup, katz, licenses, quality, sharding, simhash
+from meshset.llm import exact_dedup, katz, licenses, quality, queries, sharding, simhash
 from meshset.llm.common import components
 
 
@@ -209,3 +211,17 @@ def test_pipeline(spark, docs, tmp_path):
     out = corpus_pipeline.run(spark, sf).collect()
     ids = {r.doc_id for r in out}
     assert {3, 6, 7, 8, 9, 10, 11, 12, 100} <= ids and not {1, 2, 4, 5, 201, 202, 239} & ids
+
+
+@pytest.mark.parametrize("name", ["op9_exact_dedup", "op10_sharding", "op4_nn_descent"])
+def test_query_equals_sql(spark, name):
+    data = Path("/root/testdata/sf0.001")
+    if not data.is_dir():
+        pytest.skip("no tables here")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, str(data)), con.sql(queries.ORACLE[name])
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(want.select(*cols).fetchall())
