@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshset.engine import Engine
+from meshset.engine import Engine, changelist
 from meshset.functions.context import Context
 from meshset.functions.registry import builtin
 from meshset.model import CLUSTER, ENVIRONMENT, HOST, LATEST, Snapshot
 from meshset.operators import sets, strings, traverse
-from meshset.operators.names import prefix
-from meshset.sources import sample, sinks
+from meshset.operators.names import prefix, resolve, unprefix
+from meshset.sources import cursor, sample, sinks
 from meshset.streaming.operators import learned
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -335,3 +335,110 @@ def learner_quorum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT '"' || src || '" -> "' || dst || '";' AS line FROM edges""")
 def dot_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.dot_lines(_snap(spark, sf_dir))
+
+
+@query("SELECT name, type FROM nodes WHERE name > 'Customer#000000007' ORDER BY name LIMIT 50")
+def cursor_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cursor.page(_snap(spark, sf_dir), 50, after="Customer#000000007")
+
+
+@query("SELECT name, type FROM nodes WHERE name < 'Supplier#000000007' ORDER BY name DESC LIMIT 50")
+def cursor_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cursor.page(_snap(spark, sf_dir), 50, before="Supplier#000000007")
+
+
+@query("SELECT type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edges', count(*) FROM edges")
+def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snap = _snap(spark, sf_dir)
+    return snap.nodes.groupBy("type").agg(F.count("*").alias("n")).unionByName(snap.edges.agg(F.count("*").alias("n")).withColumn("type", F.lit("edges")))
+
+
+@query("SELECT graph FROM (VALUES ('primary'), ('dependency')) t(graph)")
+def graph_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample.load(spark, sf_dir, dependencies=True).graphs()
+
+
+@query("SELECT node, row_number() OVER (PARTITION BY node ORDER BY value) AS nth, value FROM tags WHERE key = 'priority'")
+def fetch_key_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = _snap(spark, sf_dir).tags.where("key = 'priority'")
+    return values.select("node", F.row_number().over(Window.partitionBy("node").orderBy("val_ord")).cast("long").alias("nth"), "value")
+
+
+@query("SELECT dst AS node, src AS parent FROM edges")
+def direct_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snap(spark, sf_dir).edges.select(F.col("dst").alias("node"), F.col("src").alias("parent"))
+
+
+@query("SELECT CASE WHEN starts_with(dst, 'AFRICA#') THEN substr(dst, 8) ELSE dst END AS value FROM edges WHERE src = 'AFRICA#NATION_0'")
+def environment_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir).plan("%NATION_0", "AFRICA")
+
+
+@query("SELECT CASE WHEN starts_with(cluster, 'AFRICA#') THEN substr(cluster, 8) ELSE cluster END AS value FROM cl")
+def unprefixed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snap(spark, sf_dir).of_type(ENVIRONMENT, CLUSTER).where("value like '%#%' and value not like '%.%'").select(unprefix(F.col("value"), "AFRICA").alias("value"))
+
+
+@query("SELECT n_name AS value, CASE WHEN r_name = 'AFRICA' THEN 'AFRICA#' || n_name END AS node FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'AFRICA'")
+def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = sample.read(spark, sf_dir, "nation").select(F.col("n_name").alias("value"))
+    return resolve(names, _snap(spark, sf_dir), "AFRICA", strict=False)
+
+
+@query("SELECT cluster AS value FROM cl WHERE r_name = 'AFRICA' AND NOT regexp_matches(cluster, '_[12]')")
+def regex_keep_negated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir).plan("%AFRICA,&!/_[12]/")
+
+
+@query("SELECT cluster AS value FROM cl WHERE r_name = 'AFRICA' AND regexp_matches(cluster, '_[12]')")
+def regex_drop_negated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir).plan("%AFRICA,-!/_[12]/")
+
+
+@query("SELECT key AS value FROM (SELECT DISTINCT node, key FROM tags WHERE node IN (SELECT cluster FROM cl WHERE r_name = 'ASIA'))")
+def key_names_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir).plan("(%ASIA):KEYS")
+
+
+@query("SELECT DISTINCT value FROM tags WHERE key = 'ADMIN_NODE' AND node IN (SELECT CASE WHEN n_nationkey % 2 = 0 THEN cluster ELSE r_name END FROM cl WHERE r_name = 'AFRICA')")
+def admin_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir).plan("^%AFRICA")
+
+
+@query("SELECT cluster AS value FROM cl WHERE n_nationkey IN (3, 4)")
+def has_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir).plan("has(nationkey; {3,4})")
+
+
+@query("SELECT 'nationkey' AS value")
+def mem_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir).plan('mem("AFRICA#NATION_0"; 0)')
+
+
+@query("SELECT node AS value FROM down JOIN nodes ON node = name WHERE type = 'HOST' AND root IN ('ASIA', 'AFRICA')", DOWN)
+def expand_hosts_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir).plan("expand_hosts(ASIA,AFRICA)")
+
+
+@query("SELECT root, node, CAST(depth AS BIGINT) AS depth FROM down WHERE depth <= 1", DOWN)
+def tree_one_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snap = _snap(spark, sf_dir)
+    return traverse.paths(_all(snap, ENVIRONMENT), snap, max_depth=1).select("root", "node", "depth")
+
+
+@query("SELECT DISTINCT root AS host, node AS env FROM up JOIN nodes ON node = name WHERE type = 'ENVIRONMENT'", UP)
+def host_environments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snap = _snap(spark, sf_dir)
+    above = traverse.reach(_all(snap, HOST), snap.edges, down=False)
+    return above.join(snap.of_type(ENVIRONMENT), F.col("node") == F.col("value"), "left_semi").select(F.col("root").alias("host"), F.col("node").alias("env"))
+
+
+@query("""SELECT 'subgraph "cluster_' || src || '" { ' || string_agg('"' || dst || '";', ' ' ORDER BY dst) || ' }' AS line FROM edges JOIN nodes ON src = name WHERE type = 'CLUSTER' GROUP BY src""")
+def dot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.dot_cluster_lines(_snap(spark, sf_dir))
+
+
+@query("SELECT event_id AS version, event_type AS graph, event_id AS graph_version FROM events")
+def change_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = sample.read(spark, sf_dir, "events").select(F.col("event_id").alias("version"), "ts", F.col("event_type").alias("graph"))
+    return changelist(log.select("version", "ts"), log.select("version", "graph")).select("version", F.explode("graphs").alias("graph", "graph_version"))
