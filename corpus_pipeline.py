@@ -26,7 +26,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of what is left lies in sequences of at most 2048 tokens."""
-    return packing.pack(docs, tokenizer("word_bpe_49k.json"), capacity=2048, kept=250_000, forget=True)
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"), capacity=2048, kept=100_000, forget=True)
 
 
 STAGES = [("quality classifier", keep_good), ("exact dedup", drop_copies), ("simhash near-dedup", drop_near_copies), ("best-fit packing", pack)]
@@ -39,5 +39,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"), arrow_rows=1024)
     return STAGES[-1][1](spark, docs, sf_dir)

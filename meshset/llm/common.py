@@ -9,6 +9,8 @@ and survives the loss of executors, and its size is known to the optimizer.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -81,10 +83,18 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema
         for b in (part for whole in batches for part in slices(whole)):
             if (out := fn(b)) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
+        tidy()
 
     return df.mapInArrow(run, schema)
 
 
+def tidy() -> None:
+    """Give memory that a worker no longer uses back to the system, at the end of a task."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(b: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """A batch in small parts, so that few of its texts are Python objects at a time."""
     for k in range(0, b.num_rows, rows):

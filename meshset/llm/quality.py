@@ -18,13 +18,13 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshset.llm.common import arrow_map, record, slices
+from meshset.llm.common import arrow_map, record, slices, tidy
 
 WIDTH, EMBED, FILTERS = 7, 6, 32
 STEP, SPAN = 32, 16  # a chunk has SPAN steps of STEP windows; neighbouring chunks share one step
 CHUNK = STEP * SPAN
 ROWS_PER_CLASS, CHUNKS_PER_ROW, EPOCHS, BATCH, RATE = 2500, 8, 12, 48, 0.006
-SEGMENT = 1 << 16
+SEGMENT = 1 << 14
 
 
 class Model(NamedTuple):
@@ -197,5 +197,6 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: floa
         m = Model(*shared.value)
         for b in (part for whole in batches for part in slices(whole)):
             yield b.filter(pa.array([score(m, x) >= least for x in b.column(at).to_pylist()], pa.bool_()))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)

@@ -125,14 +125,14 @@ def near_groups(df: DataFrame, radius: int = 3, words: int = 3, id_col: str = "d
     rows stay; null ids never are a component's id unless it has no other.
     Other columns, whatever their names, are not read.  Empty in, empty out.
     """
-    docs = materialise(fingerprints(df, id_col, text_col, words), "fingerprints")
+    docs = materialise(fingerprints(df, id_col, text_col, words), "fingerprints", arrow_rows=1024)
     return docs.join(classes(docs, radius), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def classes(docs: DataFrame, radius: int) -> DataFrame:
     """fp and component_id of each distinct fingerprint of ``docs`` (doc_id, fp)."""
     fps = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
-    roots = materialise(components(links(fps, radius)), "roots")
+    roots = materialise(components(materialise(links(fps, radius), "links", arrow_rows=128)), "roots")  # a row is a pair of blocks
     named = materialise(roots.join(fps, roots["node"] == fps["fp"]).select("node", "root", "low"), "named")
     least = materialise(named.groupBy("root").agg(F.min("low").alias("component_id")), "least")
     linked = named.join(least, "root").select("node", "component_id")
@@ -145,7 +145,7 @@ def near_dedup(df: DataFrame, radius: int = 3, words: int = 3, id_col: str = "do
     A group whose ids are all null, or that repeats its smallest id, keeps
     exactly one row all the same.  All columns are kept, under their own names.
     """
-    docs = materialise(fingerprints(df, id_col, text_col, words), "fingerprints")
+    docs = materialise(fingerprints(df, id_col, text_col, words), "fingerprints", arrow_rows=1024)
     owner = classes(docs, radius)
     per_id = docs.join(owner, "fp").groupBy("doc_id").agg(F.count("*").alias("times"), F.count_if(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stay"))
     # most rows stay, so the table of ids that don't, or that occur more than once, is the small side
