@@ -7,9 +7,10 @@ the neighbours of each vector meet in a local join, and what they find enters
 their lists, until nothing new comes up.  Edges below ``floor`` are not kept:
 two links at the threshold that share a vector are never further apart than
 that, so an edge below it cannot lead from link to link.  A list that is full of
-links is saturated and doubles, up to ``widest``; beyond that, and for exact
-counts, the components of the graph's threshold edges are compared in full, in
-blocks.  The recall is audited against brute force for a bounded sample of
+links is saturated and doubles, up to ``widest``.  That bounds only what takes
+part in local joins: links that full lists have no room for still connect their
+ends, by spanning forests of them.  For exact counts the components of all links
+found are compared in full, in blocks.  The recall is audited against brute force for a bounded sample of
 vectors, and with too little of it the search runs on with more tables.
 """
 
@@ -74,7 +75,7 @@ def codes(vectors: DataFrame, tables: range, bits: int = 62) -> DataFrame:
 
 
 def seeds(coded: DataFrame, floor: float, window: int = WINDOW, parts: int = 8) -> DataFrame:
-    """First edges (a, b, sim >= floor), both ways: each vector against the ``window`` next ones in its table's order.
+    """First edges (a, b, sim >= floor), one way: each vector against the ``window`` next ones in its table's order.
 
     Rows are dealt by ranges of (table, label, code), so no label, however
     common, meets in one task.
@@ -105,11 +106,15 @@ def seeds(coded: DataFrame, floor: float, window: int = WINDOW, parts: int = 8)
                 carry = {key: (ids[-window:], m[-window:])}
                 if sum(map(len, a)):
                     a, o, s = map(np.concatenate, (a, o, s))
-                    yield record({"a": np.concatenate([a, o]), "b": np.concatenate([o, a]), "sim": np.concatenate([s, s])}, schema)
+                    yield record({"a": a, "b": o, "sim": s}, schema)
 
     return coded.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+
+
 def shorten(edges: DataFrame, threshold: float, size: int = LIST, widest: int = WIDEST) -> DataFrame:
     """Each vector's nearest neighbours: ``size`` of them, doubled while the list is saturated with links.
 
@@ -128,17 +133,20 @@ def shorten(edges: DataFrame, threshold: float, size: int = LIST, widest: int =
     return ranked.withColumn("linked", linked).where(F.col("nth") <= room).select("a", "b", "sim")
 
 
-def refine(graph: DataFrame, vectors: DataFrame, floor: float, widest: int = WIDEST) -> DataFrame:
-    """Local joins: neighbours of one vector, forward and reverse, are compared with each other.
+def pivots_of(graph: DataFrame, widest: int = WIDEST) -> DataFrame:
+    """Who meets in local joins: pivot, vid; the nearest neighbours of each vector, forward and reverse, at most 2 * ``widest``."""
+    nearest = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
+    lists = both_ways(graph).groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= 2 * widest)
+    return materialise(lists.select(F.col("a").alias("pivot"), F.col("b").alias("vid")), "pivots")
+
 
-    Of each vector at most 2 * ``widest`` neighbours, the nearest ones, take part.
-    """
+def _joined(pivots: DataFrame, vectors: DataFrame) -> DataFrame:
+    return pivots.join(vectors.select("vid", "vec"), "vid").repartition("pivot").sortWithinPartitions("pivot")
+
+
+def refine(pivots: DataFrame, vectors: DataFrame, floor: float) -> DataFrame:
+    """Local joins: neighbours of one vector are compared with each other."""
     schema = "a long, b long, sim double"
-    reverse = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
-    nearest = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
-    lists = graph.unionByName(reverse).groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= 2 * widest)
-    pivots = materialise(lists.select(F.col("a").alias("pivot"), F.col("b").alias("vid")), "pivots")
-    held = pivots.join(vectors.select("vid", "vec"), "vid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in runs(batches, ["pivot"]):
@@ -150,7 +158,58 @@ def refine(graph: DataFrame, vectors: DataFrame, floor: float, widest: int = WID
             if len(i):
                 yield record({"a": ids[i], "b": ids[j], "sim": sim[i, j]}, schema)
 
-    return held.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(run, schema)
+    return _joined(pivots, vectors).mapInArrow(run, schema)
+
+
+def saturated(graph: DataFrame, threshold: float, widest: int = WIDEST) -> DataFrame:
+    """vid of the vectors whose lists hold ``widest`` links: only a link between two of them can be missing from both lists."""
+    return graph.where(F.col("sim") >= threshold).groupBy("a").count().where(F.col("count") >= widest).select(F.col("a").alias("vid"))
+
+
+def dropped(old: DataFrame, new: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that left their lists."""
+    return materialise(old.where(F.col("sim") >= threshold).join(new, ["a", "b"], "left_anti").select("a", "b"), "dropped")
+
+
+def forest(pivots: DataFrame, vectors: DataFrame, threshold: float, most: int = 1 << 20) -> DataFrame:
+    """Edges (a, b) that connect whatever the links of the local joins connect.
+
+    A task passes on a link only if its ends are not connected yet by those
+    before, so it has fewer rows than vectors; it starts anew with ``most`` of them.
+    """
+    schema = "a long, b long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = y
+            return x
+
+        for _, t in runs(batches, ["pivot"]):
+            ids, m = t.column("vid").to_numpy(), _unit(t.column("vec"))
+            if len(up) > most:
+                up.clear()
+            left, out = np.arange(len(ids)), []
+            near = m @ m.T >= threshold
+            while len(left):  # one connected part of the local links at a time
+                fresh, left = left[:1], left[1:]
+                while len(fresh) and len(left):
+                    touch = near[np.ix_(fresh, left)]
+                    hit = touch.any(axis=0)
+                    out += zip(ids[fresh[touch.argmax(axis=0)[hit]]].tolist(), ids[left[hit]].tolist(), strict=True)
+                    fresh, left = left[hit], left[~hit]
+            kept = []
+            for a, b in out:
+                if (x := top(a)) != (y := top(b)):
+                    up[x] = y
+                    kept.append((a, b))
+            if kept:
+                yield record({"a": [a for a, _ in kept], "b": [b for _, b in kept]}, schema)
+
+    return _joined(pivots, vectors).mapInArrow(run, schema)
 
 
 def count_links(members: DataFrame, vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -241,17 +300,26 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id",
     vectors = materialise(distinct.withColumn("vid", F.monotonically_increasing_id()), "vectors")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     graph, tables = None, range(TABLES)
+    joined = spark.createDataFrame([], "a long, b long")  # links beside those in the lists
     while True:
-        first = shorten(seeds(codes(vectors, tables), floor, parts=parts), threshold)
-        graph = materialise(first if graph is None else shorten(graph.unionByName(first), threshold), "graph")
+        seeded = materialise(seeds(codes(vectors, tables), floor, parts=parts), "seeds")
+        joined = joined.unionByName(seeded.where(F.col("sim") >= threshold).select("a", "b"))
+        first = shorten(both_ways(seeded), threshold)
+        old, graph = graph, materialise(first if graph is None else shorten(graph.unionByName(first), threshold), "graph")
+        if old is not None:
+            joined = joined.unionByName(dropped(old, graph, threshold))
         size = graph.agg(F.count("*"), F.sum("sim")).first()
         for _ in range(ROUNDS if size[0] else 0):
-            graph = materialise(shorten(graph.unionByName(refine(graph, vectors, floor)), threshold), "graph")
+            pivots = pivots_of(graph)
+            old, graph = graph, materialise(shorten(graph.unionByName(refine(pivots, vectors, floor)), threshold), "graph")
+            full = materialise(saturated(graph, threshold), "saturated")
+            if not full.isEmpty():
+                joined = joined.unionByName(materialise(forest(pivots.join(full, "vid"), vectors, threshold), "forest")).unionByName(dropped(old, graph, threshold))
             new = graph.agg(F.count("*"), F.sum("sim")).first()
             if new[0] == size[0] and abs(new[1] - size[1]) <= 1e-9 * max(1, abs(size[1])):
                 break
             size = new
-        members = materialise(components(graph.where(F.col("sim") >= threshold).select("a", "b")), "members")
+        members = materialise(components(graph.where(F.col("sim") >= threshold).select("a", "b").unionByName(joined)), "members")
         linked = materialise(count_links(members, vectors, threshold), "linked")
         if audit(vectors, linked, threshold) >= RECALL or tables.stop >= 4 * TABLES:
             break

@@ -33,3 +33,14 @@ def test_links(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_vectors(df).collect()}
     assert got == want
     assert nn_descent.near_vectors(df.where("false")).count() == 0
+
+
+def test_groups_wider_than_lists(spark):
+    """Two groups whose members have more nearer links than a list holds, linked with each other."""
+    rng = np.random.default_rng(3)
+    x, y = np.linalg.qr(rng.standard_normal((16, 2)))[0].T
+    centres = [x, 0.985 * x + np.sqrt(1 - 0.985**2) * y]
+    rows = [(k, (centres[k % 2] + 0.0005 * rng.standard_normal(16)).tolist(), 1) for k in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_vectors(df).collect()}
+    assert got == {k: (199, 0) for k in range(200)}
