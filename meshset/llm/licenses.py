@@ -14,6 +14,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,11 +43,16 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def needed(n: int, least: float) -> int:
+    """How many of n words make a coverage of ``least``; products such as 0.55 * 100 may lie just above a whole number."""
+    return ceil(least * n - 1e-9)
+
+
 def rarer(notice: list[str], least: float) -> list[str]:
     """The longest words of a notice, until no alignment with coverage ``least`` can do without all of them."""
     got, mass, counts = [], 0, Counter(notice)
     for w in sorted(counts, key=lambda w: (-len(w), w)):
-        if mass > (1 - least) * len(notice):
+        if mass > len(notice) - needed(len(notice), least):
             break
         got.append(w)
         mass += counts[w]
@@ -116,7 +122,7 @@ def align(a: list[str], b: list[str]) -> Pairs:
 
 def near(pairs: Pairs, n: int, least: float) -> Pairs:
     """Pairs less an end that lies further apart from the rest than a notice's words do, twice over."""
-    while len(pairs) >= least * n and pairs[-1][0] - pairs[0][0] >= 2 * n:
+    while len(pairs) >= needed(n, least) and pairs[-1][0] - pairs[0][0] >= 2 * n:
         pairs.pop(0 if pairs[1][0] - pairs[0][0] > pairs[-1][0] - pairs[-2][0] else -1)
     return pairs
 
@@ -124,6 +130,7 @@ def near(pairs: Pairs, n: int, least: float) -> Pairs:
 def find(text: list[str], notice: list[str], probes: list[str], least: float) -> list[tuple[int, int, float]]:
     """Non-overlapping finds (first word, last word, coverage) of a notice, in the order of the text."""
     sought, n, done, out = set(probes), len(notice), -1, []
+    need = needed(n, least)
     want, held, shared, start, end = Counter(notice), Counter(), 0, 0, 0
     for p in (p for p, w in enumerate(text) if w in sought):
         if p <= done:
@@ -139,10 +146,10 @@ def find(text: list[str], notice: list[str], probes: list[str], least: float) ->
             shared -= held[w] <= want[w]
             held[w] -= 1
         start, end = low, high
-        if shared < least * n:
+        if shared < need:
             continue
         pairs = near(align(text[low:high], notice), n, least)
-        if len(pairs) >= least * n:
+        if len(pairs) >= need:
             # the window may end within the notice: look again from where it starts
             first = low + pairs[0][0]
             again = near(align(text[first : first + 2 * n], notice), n, least)

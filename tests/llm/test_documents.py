@@ -135,6 +135,21 @@ def test_license_windows():
     assert licenses.find(noise, notice, probes, 0.8) == []
 
 
+def test_license_at_least_coverage(spark):
+    """A find at exactly the least coverage, without the notice's longest word."""
+    texts = ["Distributed under the MIT License.", "it is available under the MIT License", "under the License"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [tuple(r) for r in licenses.scan(df).collect() if r.license == "MIT"]
+    assert sorted(got) == [(0, "MIT", 0.8, 1, 1, 4), (1, "MIT", 0.8, 1, 3, 6)]
+    for n in range(1, 101):
+        notice = [f"w{k:03}" for k in range(n)]
+        for percent in (55, 70, 80, 100):
+            spare = n * (100 - percent) // 100
+            assert len(licenses.rarer(notice, percent / 100)) == spare + 1, (n, percent)
+            found = licenses.find(notice[spare:], notice, licenses.rarer(notice, percent / 100), percent / 100)
+            assert [x[2] for x in found] == [(n - spare) / n], (n, percent)
+
+
 def brute_katz(rows):
     tok = [[*(t or "").encode().lower().split(), None] for _, t in rows]
     train = [i is None or zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in rows]
