@@ -130,13 +130,13 @@ def near_groups(df: DataFrame, radius: int = 3, words: int = 3, id_col: str = "d
 
 
 def classes(docs: DataFrame, radius: int) -> DataFrame:
-    """fp and component_id of each distinct fingerprint of ``docs`` (doc_id, fp)."""
+    """fp, root (a fingerprint that names the component) and component_id of each distinct fingerprint of ``docs`` (doc_id, fp)."""
     fps = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
     roots = materialise(components(materialise(links(fps, radius), "links", arrow_rows=128)), "roots")  # a row is a pair of blocks
     named = materialise(roots.join(fps, roots["node"] == fps["fp"]).select("node", "root", "low"), "named")
     least = materialise(named.groupBy("root").agg(F.min("low").alias("component_id")), "least")
-    linked = named.join(least, "root").select("node", "component_id")
-    return materialise(fps.join(linked, fps["fp"] == linked["node"], "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "components")
+    linked = named.join(least, "root").select("node", "root", "component_id")
+    return materialise(fps.join(linked, fps["fp"] == linked["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "low").alias("component_id")), "components")
 
 
 def near_dedup(df: DataFrame, radius: int = 3, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,9 +156,9 @@ def near_dedup(df: DataFrame, radius: int = 3, words: int = 3, id_col: str = "do
     repeated = odd.where("times > 1")
     if repeated.isEmpty():
         return once
-    # repeated ids: one row for each id whose component it names, found by fingerprint
+    # repeated ids: one row for each component that the id names (null: that has no other id), found by fingerprint
     again = materialise(rows.join(repeated, same, "left_semi"), "again")
-    first = Window.partitionBy("s_doc").orderBy(F.desc(F.length("s_text")), F.xxhash64("s_text"))
+    first = Window.partitionBy("root").orderBy(F.desc(F.length("s_text")), F.xxhash64("s_text"))
     more = _with_fp(again, words).join(owner, "fp").where(F.col("s_doc").eqNullSafe(F.col("component_id")))
     return once.unionByName(more.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*"))
 

@@ -54,6 +54,15 @@ def test_simhash(docs, rows, empty):
     assert Counter(ids) == Counter(set(comps))
 
 
+def test_near_dedup_keeps_each_group(spark):
+    """Groups of null ids only, and unlike texts under one id, keep a row each."""
+    fox, sea, law = "the quick brown fox jumps over the lazy dog", "seven old ships sail far out on a cold green sea", "no court may hold what no law has ever said"
+    rows = [(None, fox), (None, fox), (None, sea), (None, law), (None, "wholly other words"), (3, "one text of this id"), (3, "and quite another one here"), (3, law), (2, law), (3, "one text of this id"), (4, "plain")]
+    got = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, fox), (None, sea), (None, "wholly other words"), (3, "one text of this id"), (3, "and quite another one here"), (2, law), (4, "plain")]
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
 def test_links_are_complete(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
