@@ -1,7 +1,8 @@
 """License scans by patience alignment (operator 2).
 
 A notice is sought around each of its rarer words: a window of the text, as wide
-as the notice on both sides, is aligned with the notice.  Words that occur once
+as the notice on both sides, is aligned with the notice, and without a find every
+window of twice its width that has the word.  Words that occur once
 in both are anchors; the longest increasing subsequence of their positions keeps
 those in order, and the gaps between are aligned in the same way.  A gap without
 anchors is aligned by a longest common subsequence.  Coverage is the share of
@@ -127,6 +128,19 @@ def near(pairs: Pairs, n: int, least: float) -> Pairs:
     return pairs
 
 
+def spread(text: list[str], p: int, low: int, notice: list[str], need: int) -> tuple[int, Pairs]:
+    """The best alignment that has position ``p`` among windows of twice the notice's width, which start at ``low`` or later."""
+    n, want, best = len(notice), Counter(notice), (low, [])
+    for s in range(low, p + 1):
+        part = text[s : s + 2 * n]
+        if text[s] not in want or (Counter(part) & want).total() < need:
+            continue
+        pairs = near(align(part, notice), n, need / n)
+        if len(pairs) > max(need - 1, len(best[1])) and any(s + i == p for i, _ in pairs):
+            best = s, pairs
+    return best
+
+
 def find(text: list[str], notice: list[str], probes: list[str], least: float) -> list[tuple[int, int, float]]:
     """Non-overlapping finds (first word, last word, coverage) of a notice, in the order of the text."""
     sought, n, done, out = set(probes), len(notice), -1, []
@@ -135,7 +149,7 @@ def find(text: list[str], notice: list[str], probes: list[str], least: float) ->
     for p in (p for p, w in enumerate(text) if w in sought):
         if p <= done:
             continue
-        low, high = max(done + 1, p - n), min(len(text), p + n + 1)
+        low, high = max(done + 1, p - 2 * n + 1), min(len(text), p + 2 * n)
         # words that window and notice share bound every alignment; the window's counts slide along
         if low >= end:
             held, shared, start, end = Counter(), 0, low, low
@@ -148,12 +162,20 @@ def find(text: list[str], notice: list[str], probes: list[str], least: float) ->
         start, end = low, high
         if shared < need:
             continue
-        pairs = near(align(text[low:high], notice), n, least)
+        wide, low = low, max(done + 1, p - n)
+        pairs = near(align(text[low : p + n + 1], notice), n, least)
+        if len(pairs) < need:
+            low, pairs = spread(text, p, wide, notice, need)
         if len(pairs) >= need:
             # the window may end within the notice: look again from where it starts
             first = low + pairs[0][0]
             again = near(align(text[first : first + 2 * n], notice), n, least)
             low, pairs = (first, again) if len(again) > len(pairs) else (low, pairs)
+            # or start within it: and from where it ends
+            last = low + pairs[-1][0]
+            back = max(done + 1, last - 2 * n + 1)
+            again = near(align(text[back : last + 1], notice), n, least)
+            low, pairs = (back, again) if len(again) > len(pairs) else (low, pairs)
             done = low + pairs[-1][0]
             out.append((low + pairs[0][0], done, len(pairs) / n))
     return out

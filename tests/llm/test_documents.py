@@ -159,6 +159,16 @@ def test_license_at_least_coverage(spark):
             assert [x[2] for x in found] == [(n - spare) / n], (n, percent)
 
 
+def test_license_with_words_put_in():
+    """Words of a notice in order over less than twice its width, with the probes at either end."""
+    notice = licenses.words(licenses.NOTICES["MIT"])
+    for text in ("Released under the terms of the MIT License", "x y Released now under just the very MIT License z"):
+        w = licenses.words(text)
+        start = w.index("released")
+        for probes in (licenses.rarer(notice, 0.8), ["released"], ["license"]):
+            assert licenses.find(w, notice, probes, 0.8) == [(start, w.index("license"), 1.0)]
+
+
 def brute_katz(rows):
     tok = [[*(t or "").encode().lower().split(), None] for _, t in rows]
     train = [i is None or zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in rows]
