@@ -1,9 +1,10 @@
 """What the operators of this subpackage share: scratch tables, Arrow helpers, connected components.
 
 Scratch tables go to the folder named by ``spark.checkpoint.dir``, which the
-driver and all executors share; a folder of our own is set only where that
-setting is missing, as in tests.  A table that was written there cuts lineage
-and survives the loss of executors, and its size is known to the optimizer.
+driver and all executors share; only in local mode, where the driver is the one
+executor, a folder of our own stands in for a missing setting.  A table that was
+written there cuts lineage and survives the loss of executors, and its size is
+known to the optimizer.  The shuffles behind a written table go at once.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder of the session."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='meshset-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,14 +40,18 @@ def materialise(df: DataFrame, tag: str, arrow_rows: int = 0) -> DataFrame:
     ``arrow_rows`` bounds the rows of an Arrow batch while it is written, for wide rows.
     """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = df.sparkSession.conf.get(key)
+    conf = df.sparkSession.conf
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if arrow_rows:
+        wanted["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(arrow_rows)
+    before = {key: conf.get(key, None) for key in wanted}
     try:
-        if arrow_rows:
-            df.sparkSession.conf.set(key, str(arrow_rows))
+        for key, value in wanted.items():
+            conf.set(key, value)
         df.write.parquet(path)
     finally:
-        df.sparkSession.conf.set(key, before)
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
     _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -71,7 +78,7 @@ def _clean() -> None:
         try:
             _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have gone already; the folder is scratch
-            return
+            continue
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
@@ -103,7 +110,7 @@ def slices(b: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
 
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(),
-    "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()),
+    "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<binary>": pa.list_(pa.binary()),
 }
 
 

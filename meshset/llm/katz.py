@@ -1,21 +1,24 @@
-"""Language-model scores by a Katz backoff model over words (operator 8).
+"""Language-model scores by a Katz backoff model over words, of any order (operator 8).
 
-Documents become batches of token numbers with a vocabulary of their own.  Each
-batch sends every distinct word once, and later every distinct bigram once, with
-its training count, to the shard that owns it; shards add the counts up, keep
-them as partitioned tables, and answer each batch.  So what moves are distinct
-words and bigrams of a batch, a frequent one as one row per batch, and shards
-never meet a hot key.  Bigrams are owned by their first word; those whose first
-word makes up at least a share ``HOT`` of all tokens are dealt by both words, and
-their histories' sums (at most 1 / HOT of them) are added up at the end.
+Documents become batches of token numbers with a vocabulary of their own.  Level
+by level, each batch sends every distinct n-gram once, with its training count,
+to the shard that owns the n-gram's history; shards add the counts up, keep them
+as partitioned tables, and answer each batch.  So what moves are distinct n-grams
+of a batch, a frequent one as one row per batch, and shards never meet a hot key:
+histories with at least a share of all tokens are dealt by history and word, and
+their few sums are added up at the end.  The number of shards follows from the
+number of tokens, so what a shard holds does not grow with the input.
 
 Counts r up to K are discounted by Good-Turing, with (r - 1/2) / r instead where
 the counts of counts give no discount between 0 and 1.  The mass that discounting
-frees goes to the words not seen after the history, in proportion to their
-unigram probabilities: the weight is freed mass over one minus the unigram
-probabilities of the words seen.  Unigrams free their mass for one class of
+frees after a history goes to the words not seen there, in proportion to what the
+next lower order gives them: the weight is the freed mass over one minus the
+lower order's mass of the words seen.  Unigrams free their mass for one class of
 unknown words.  Where nothing was freed, one count is added to the history and
-freed.  So all probabilities of known words and the unknown class sum to 1.
+freed.  So at every order all probabilities of known words and the unknown class
+sum to 1.  A token's probability is found from the longest history down: the
+n-gram's own if it was seen, else the history's weight times that of the n-gram
+less its first word; a history never seen passes on to the shorter one.
 """
 
 from __future__ import annotations
@@ -31,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from meshset.llm.common import materialise, record, runs
+from meshset.llm.common import drop_scratch, materialise, record, runs, tidy
 
 K = 5
+ORDER = 3
 HOT = 1e-3
 BATCH_TOKENS = 1_000_000
-END, BEGIN = 1, (1 << 32) - 1
-#: Words are known by 64-bit hashes; ids that shards deal are below BEGIN.
+SHARD_TOKENS = 3_000_000
+#: The end token's hash; words have others.  The id of the begin is 0, words have ids from 1.
+END = 1
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -53,6 +58,15 @@ def expand(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(dtype).ravel()
 
 
+def rising(x: np.ndarray) -> bytes:
+    """An array that never falls, as its steps."""
+    return squeeze(np.diff(x, prepend=0).astype("<u8"))
+
+
+def risen(data: bytes) -> np.ndarray:
+    return np.cumsum(expand(data, "<u8")).astype(np.int64)
+
+
 class Discounts(NamedTuple):
     """d[r] for r <= K, then 1 for larger counts."""
 
@@ -104,6 +118,21 @@ def unigrams(total: int, kinds: int, n: list[int]) -> Unigrams:
     return Unigrams(total, kinds, discounts, 1.0, freed)
 
 
+class Level(NamedTuple):
+    """What is known of an order k > 1: its discounts, and of hot histories how many words have count 1..K and the lower mass of all."""
+
+    discounts: Discounts
+    hot: dict[tuple[int, ...], tuple[np.ndarray, float]]
+
+
+class Model(NamedTuple):
+    """What all tasks share: the unigrams, the levels from order 2 on, and from which count on a history is hot."""
+
+    words: Unigrams
+    levels: dict[int, Level]
+    hot: float
+
+
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
@@ -113,10 +142,10 @@ class _Numbers(dict):
 BATCHES = "batch long, doc_ids array<long>, held array<int>, sizes array<int>, tokens binary, ends int, words binary, counts binary"
 
 
-def tokenise(df: DataFrame, id_col: str, text_col: str, most: int, shards: int) -> DataFrame:
+def tokenise(df: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
     """Batches of whole documents with at most ``most`` tokens, or one document.
 
-    Words are numbered in the order of their shards; ``ends`` is the end token's number.
+    Words are numbered in the order of their hashes; ``ends`` is the end token's number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +156,7 @@ def tokenise(df: DataFrame, id_col: str, text_col: str, most: int, shards: int)
             tokens = np.concatenate(parts)
             train = np.repeat(1 - np.array(held), sizes)
             hashes = np.array([END, *(max(xxh64_intdigest(w), 2) for w in list(numbers)[1:])], "<u8")
-            order = np.argsort(hashes % np.uint64(shards), kind="stable")
+            order = np.argsort(hashes, kind="stable")
             place = np.empty(len(order), "<u4")
             place[order] = np.arange(len(order))
             tokens = place[tokens]
@@ -150,6 +179,7 @@ def tokenise(df: DataFrame, id_col: str, text_col: str, most: int, shards: int)
                 total += len(words) + 1
         if ids:
             yield flush()
+        tidy()
 
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(False)).cast("int")
     return df.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, BATCHES)
@@ -162,18 +192,26 @@ def _dealt(shard: np.ndarray, order: np.ndarray) -> list[tuple[int, np.ndarray]]
     return [(int(shard[p[0]]), p) for p in np.split(order, cuts) if len(p)]
 
 
+def _owner(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each hash; it rises with the hash, for any number of shards."""
+    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
 WORD_ANSWERS = "kind int, batch long, shard int, ids binary, totals binary, stats array<long>"
 
 
 def count_words(batches: DataFrame, shards: int) -> DataFrame:
-    """kind 0: for a batch, ids and totals of the words it sent to a shard; kind 1: [kinds, tokens, n_1 .. n_K+1] of a shard."""
+    """kind 0: for a batch, ids and totals of the words it sent to a shard; kind 1: [kinds, tokens, n_1 .. n_K+1, largest id] of a shard.
+
+    A shard's frequent words get its small ids, so that columns of ids compress well.
+    """
     sent = "shard int, batch long, words binary, counts binary"
 
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for batch, w, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 words, counts = expand(w, "<u8"), expand(c, "<u4")
-                got = _dealt((words % np.uint64(shards)).astype(np.int64), np.arange(len(words)))
+                got = _dealt(_owner(words, shards), np.arange(len(words)))
                 yield record({"shard": [s for s, _ in got], "batch": [batch] * len(got), "words": [squeeze(words[p]) for _, p in got], "counts": [squeeze(counts[p]) for _, p in got]}, sent)
 
     def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,118 +220,245 @@ def count_words(batches: DataFrame, shards: int) -> DataFrame:
             counts = np.concatenate([expand(x, "<u4") for x in t.column("counts").to_pylist()])
             kinds, at = np.unique(np.concatenate(words), return_inverse=True)
             total = np.bincount(at, weights=counts).astype(np.int64)
-            ids = np.arange(len(kinds), dtype=np.int64) * shards + shard
-            if ids[-1] >= BEGIN:
-                raise OverflowError("more words than ids")
+            ids = np.empty(len(kinds), np.int64)
+            ids[np.argsort(-total, kind="stable")] = np.arange(len(kinds), dtype=np.int64) * shards + shard + 1
             ends = np.cumsum([len(w) for w in words])[:-1]
             batch = t.column("batch").to_pylist()
             n = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist()
-            stats = [int((total > 0).sum()), int(total.sum()), *n]
+            stats = [int((total > 0).sum()), int(total.sum()), *n, int(ids.max())]
             yield record({
                 "kind": [0] * len(batch) + [1], "batch": [*batch, None], "shard": [shard] * (len(batch) + 1), "stats": [*[None] * len(batch), stats],
-                "ids": [*(squeeze(ids[p].astype("<u4")) for p in np.split(at, ends)), None], "totals": [*(squeeze(total[p]) for p in np.split(at, ends)), None],
+                "ids": [*(squeeze(ids[p].astype("<u8")) for p in np.split(at, ends)), None], "totals": [*(squeeze(total[p]) for p in np.split(at, ends)), None],
             }, WORD_ANSWERS)
+        tidy()
 
     out = batches.select("batch", "words", "counts").mapInArrow(send, sent)
     return out.repartition(shards, "shard").sortWithinPartitions("shard", "batch").mapInArrow(add, WORD_ANSWERS)
 
 
+KNOWN = "batch long, doc_ids array<long>, held array<int>, sizes array<int>, tokens binary, ends int, ids binary, totals binary"
+
+
+def name_words(batches: DataFrame, answers: DataFrame) -> DataFrame:
+    """Batches whose words are numbered from 1 in the order of their ids, with ids and totals."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(rows):
+            told = sorted(r["answers"], key=lambda a: a["shard"])  # as the hashes rise, so do their shards
+            ids = np.concatenate([expand(a["ids"], "<u8") for a in told]).astype(np.int64)
+            totals = np.concatenate([expand(a["totals"], "<i8") for a in told])
+            order = np.argsort(ids)
+            place = np.empty(len(order), "<u4")
+            place[order] = np.arange(1, len(order) + 1)
+            row = {x: r[x] for x in ("batch", "doc_ids", "held", "sizes")}
+            row |= {"tokens": squeeze(place[expand(r["tokens"], "<u4")]), "ends": int(place[r["ends"]]), "ids": rising(ids[order]), "totals": squeeze(totals[order])}
+            yield record({k: [v] for k, v in row.items()}, KNOWN)
+        tidy()
+
+    by_batch = answers.where("kind = 0").groupBy("batch").agg(F.collect_list(F.struct("shard", "ids", "totals")).alias("answers"))  # a batch's own words
+    return batches.drop("words", "counts").join(by_batch, "batch").mapInArrow(run, KNOWN)
+
+
 class Local:
-    """A batch with what the shards know of its words: global ids, totals, and its distinct bigrams."""
+    """A batch's distinct n-grams up to some order, with what the shards have told of them.
+
+    Of order k, gram g is the gram ``hist[k][g]`` of order k - 1 and then the word
+    ``word[k][g]``; less its first word it is the gram ``suffix[k][g]`` of order
+    k - 1.  ``at[k]`` has the gram that ends at each token, or -1 where the text
+    has begun too late for one.  Grams of order 1 are the words, 0 is the begin.
+    """
 
-    def __init__(self, r: dict, shards: int, hot: float):
-        self.tokens = expand(r["tokens"], "<u4").astype(np.int64)
+    def __init__(self, r: dict, order: int, model: Model, shards: int):
+        self.r, self.model, self.shards = r, model, shards
+        tokens = expand(r["tokens"], "<u4").astype(np.int64)
         self.sizes, self.held = np.array(r["sizes"], np.int64), np.array(r["held"], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        answers = sorted(r["answers"], key=lambda a: a["shard"])
-        self.ids = np.concatenate([*(expand(a["ids"], "<u4") for a in answers), [BEGIN]]).astype(np.int64)
-        totals = [expand(a["totals"], "<i8") for a in answers]
-        self.totals = np.append(np.concatenate(totals), 0)
-        self.totals[-1] = self.totals[r["ends"]]  # as many begins as ends
-        n = len(self.ids) - 1
-        before = np.concatenate([[n], self.tokens[:-1]])
-        before[self.starts] = n
-        kinds, self.at = np.unique(before * (n + 1) + self.tokens, return_inverse=True)
-        self.first, self.second = kinds // (n + 1), kinds % (n + 1)
-        self.hot = self.totals >= max(1.0, hot)
-        self.hot[n] = True
-        owner = _mix(self.ids[self.first] + np.where(self.hot[self.first], self.ids[self.second] << 32, 0)) % np.uint64(shards)
-        shard = owner.astype(np.int64)
-        self.parts = _dealt(shard, np.argsort(shard, kind="stable"))  # within a shard by first, then second
-
-    def histories(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first words among bigrams p, which are sorted by them, and how many bigrams each has."""
-        start = np.flatnonzero(np.diff(self.first[p], prepend=-1))
-        return self.first[p[start]], np.diff(np.append(start, len(p)))
+        self.offset = np.arange(len(tokens)) - np.repeat(self.starts, self.sizes)
+        self.ids = np.concatenate([[0], risen(r["ids"])])
+        totals = np.concatenate([[0], expand(r["totals"], "<i8")])
+        totals[0] = totals[r["ends"]]  # as many begins as ends
+        self.counts, self.at = {1: totals}, {1: tokens}
+        self.hist: dict[int, np.ndarray] = {}
+        self.word: dict[int, np.ndarray] = {}
+        self.suffix: dict[int, np.ndarray] = {}
+        self.hashes = {1: _mix(self.ids)}
+        #: Of order k, by gram of order k - 1: whether it freed nothing, its words with count 1..K, their lower mass.
+        self.none: dict[int, np.ndarray] = {}
+        self.heads: dict[int, np.ndarray] = {}
+        self.seen: dict[int, np.ndarray] = {}
+        for k in range(2, order + 1):
+            self._grams(k)
+
+    def _grams(self, k: int) -> None:
+        there = np.flatnonzero(self.offset >= k - 2)
+        before = self.at[k - 1][there - 1]
+        if k == 2:
+            before = np.where(self.offset > 0, before, 0)
+        kinds, inverse = np.unique(before * len(self.ids) + self.at[1][there], return_inverse=True)
+        self.at[k] = np.full(len(self.offset), -1, np.int64)
+        self.at[k][there] = inverse
+        self.hist[k], self.word[k] = kinds // len(self.ids), kinds % len(self.ids)
+        self.suffix[k] = np.empty(len(kinds), np.int64)
+        self.suffix[k][inverse] = self.at[k - 1][there]
+        with np.errstate(over="ignore"):
+            self.hashes[k] = _mix(self.hashes[k - 1][self.hist[k]] * np.uint64(3) + self.hashes[1][self.word[k]])
+
+    def hot(self, k: int) -> np.ndarray:
+        """By gram of order k - 1: whether it is a hot history."""
+        return self.counts[k - 1] >= self.model.hot
+
+    def parts(self, k: int) -> list[tuple[int, np.ndarray]]:
+        """(shard, grams of order k that it owns, in order)."""
+        h = self.hashes[k - 1][self.hist[k]]
+        shard = _owner(np.where(self.hot(k)[self.hist[k]], self.hashes[k], h), self.shards)
+        return _dealt(shard, np.argsort(shard, kind="stable"))
+
+    def histories(self, k: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in p, which is sorted by them, each history's grams start, and those histories."""
+        start = np.flatnonzero(np.diff(self.hist[k][p], prepend=-1))
+        return start, self.hist[k][p[start]]
+
+    def names(self, k: int, g: np.ndarray) -> list[np.ndarray]:
+        """The word ids of grams of order k, one array per place."""
+        if k == 1:
+            return [self.ids[g]]
+        return [*self.names(k - 1, self.hist[k][g]), self.ids[self.word[k][g]]]
+
+    def learn(self, k: int, answers: list[dict]) -> None:
+        """Take in what the shards answered for order k."""
+        size = len(self.counts[k - 1])
+        self.counts[k], self.none[k] = np.zeros(len(self.hist[k]), np.int64), np.zeros(size, bool)
+        self.heads[k], self.seen[k] = np.zeros((size, K)), np.zeros(size)
+        told, hot = {a["shard"]: a for a in answers}, self.hot(k)
+        for s, p in self.parts(k):
+            a = told[s]
+            self.counts[k][p] = expand(a["counts"], "<i8")
+            start, h = self.histories(k, p)
+            self.none[k][h] = expand(a["none"], "?")
+            asked = h[(np.minimum.reduceat(self.counts[k][p], start) == 0) & (self.counts[k - 1][h] > 0) & ~hot[h]]
+            self.heads[k][asked] = expand(a["heads"], "<u4").reshape(-1, K)
+            self.seen[k][asked] = expand(a["seen"], "<f8")
+        if k in self.model.levels:
+            g = np.flatnonzero(hot)
+            for x, name in zip(g.tolist(), zip(*(c.tolist() for c in self.names(k - 1, g)), strict=True), strict=True):
+                if name in self.model.levels[k].hot:
+                    self.heads[k][x], self.seen[k][x] = self.model.levels[k].hot[name]
+                    self.none[k][x] = not self.heads[k][x].any()
+
+    def probabilities(self, order: int) -> np.ndarray:
+        """The probability of each gram of an order, from its history's counts or else from the order below."""
+        if order == 1:
+            return self.model.words.p(self.counts[1])
+        lower, d = self.probabilities(order - 1)[self.suffix[order]], self.model.levels[order].discounts
+        h = self.hist[order]
+        size, none, r = self.counts[order - 1][h], self.none[order][h], self.counts[order]
+        freed = np.where(none, 1.0, self.heads[order][h] @ d.freed) / np.maximum(1, size + none)
+        weight = freed / np.maximum(1 - self.seen[order][h], 1e-300)
+        return np.where(size == 0, lower, np.where(r > 0, d.of(r) * r / np.maximum(1, size + none), weight * lower))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64)
+    x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-BIGRAM_ANSWERS = "kind int, batch long, shard int, counts binary, heads binary, seen binary, ids array<long>, stats array<long>, sums array<double>"
+def _dense(*columns: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many distinct rows the columns have, and each row's rank among them."""
+    rank, n = np.zeros(len(columns[0]), np.int64), 1
+    for c in columns:
+        kinds, c = np.unique(c, return_inverse=True) if len(c) and int(c.max()) >= 1 << 31 else (None, c.astype(np.int64))
+        both = rank * ((len(kinds) if kinds is not None else int(c.max(initial=0))) + 1) + c
+        got, rank = np.unique(both, return_inverse=True)
+        n = len(got)
+    return n, rank
+
 
+SENT = "shard int, batch long, names array<binary>, hot binary, sizes binary, words binary, lower binary, base binary, counts binary"
+ANSWERS = "kind int, batch long, shard int, counts binary, none binary, heads binary, seen binary, names array<long>, stats array<long>, mass double"
 
-def count_bigrams(batches: DataFrame, shards: int, words: Unigrams) -> DataFrame:
-    """kind 0: for a batch and shard, the bigrams' totals, and of each history how many words it has with
-    count 1..K (``heads``) and the unigram mass of all its words (``seen``); kind 1: n_1 .. n_K+1; kind 2: the
-    same as kind 0 of the hot histories ``ids``, of which this shard has a part."""
-    sent = "shard int, batch long, firsts binary, hot binary, sizes binary, seconds binary, totals binary, counts binary"
+
+def count_grams(state: DataFrame, k: int, shards: int, model: Model, wide: str) -> DataFrame:
+    """kind 0: for a batch and shard, its grams' totals, of each history whether it frees nothing, and of those that
+    must back off how many words have count 1..K and the lower order's mass of all; kind 1: n_1 .. n_K+1; kind 2: the
+    same sums of a hot history, of which this shard has a part."""
 
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(rows):
-            b = Local(r, shards, HOT * words.total)
-            counts = np.bincount(b.at, weights=np.repeat(1 - b.held, b.sizes), minlength=len(b.first)).astype("<u4")
-            for k in range(0, len(b.parts), 64):
-                out: dict[str, list] = {x.split()[0]: [] for x in sent.split(", ")}
-                for s, p in b.parts[k : k + 64]:
-                    heads, sizes = b.histories(p)
-                    second = b.second[p]
-                    for c, x in zip(out.values(), (s, r["batch"], squeeze(b.ids[heads].astype("<u4")), squeeze(b.hot[heads]), squeeze(sizes.astype("<u4")), squeeze(b.ids[second].astype("<u4")), squeeze(b.totals[second]), squeeze(counts[p])), strict=True):
+            b = _local(r, k, model, shards, k - 1)
+            there = b.at[k] >= 0
+            counts = np.bincount(b.at[k][there], weights=np.repeat(1 - b.held, b.sizes)[there], minlength=len(b.hist[k])).astype("<u4")
+            hot, parts = b.hot(k), b.parts(k)
+            for at in range(0, len(parts), 64):
+                out: dict[str, list] = {x.split()[0]: [] for x in SENT.split(", ")}
+                for s, p in parts[at : at + 64]:
+                    start, h = b.histories(k, p)
+                    first, *rest = b.names(k - 1, h)
+                    base = np.zeros(len(h), np.int64)
+                    if k > 2:  # the size of the shorter history, and whether it frees nothing
+                        short = b.suffix[k - 1][h]
+                        base = 2 * b.counts[k - 2][short] + b.none[k - 1][short]
+                    row = (
+                        s, r["batch"], [rising(first), *(squeeze(c.astype(wide)) for c in rest)], squeeze(hot[h]), squeeze(np.diff(np.append(start, len(p))).astype("<u4")),
+                        squeeze(b.ids[b.word[k][p]].astype(wide)), squeeze(b.counts[k - 1][b.suffix[k][p]]), squeeze(base), squeeze(counts[p]),
+                    )
+                    for c, x in zip(out.values(), row, strict=True):
                         c.append(x)
-                yield record(out, sent)
+                yield record(out, SENT)
+        tidy()
 
     def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (shard,), t in runs(rows, ["shard"]):
-            read = lambda c, kind: [expand(x, kind) for x in t.column(c).to_pylist()]  # noqa: B023, E731
-            firsts, hots, sizes = read("firsts", "<u4"), np.concatenate(read("hot", "?")), read("sizes", "<u4")
-            seconds, counts = read("seconds", "<u4"), np.concatenate(read("counts", "<u4"))
-            all_firsts = np.concatenate(firsts).astype(np.int64)
-            key = (np.repeat(all_firsts, np.concatenate(sizes)).astype(np.uint64) << np.uint64(32)) | np.concatenate(seconds).astype(np.uint64)
-            order = np.argsort(key)
-            new = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-            at = np.empty(len(key), np.int64)
-            at[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(key))))
-            total = np.bincount(at, weights=counts).astype(np.int64)
-            second_totals = np.concatenate(read("totals", "<i8"))[order[new]]
-            seen = np.flatnonzero(total)
-            owner, nth = np.unique((key[order[new]][seen] >> np.uint64(32)).astype(np.int64), return_inverse=True)
-            r = total[seen]
-            low = r <= K
-            heads = np.bincount(nth[low] * K + r[low] - 1, minlength=K * len(owner)).reshape(-1, K)
-            mass = np.bincount(nth, weights=words.p(second_totals[seen]), minlength=len(owner))
-            heads, mass = np.vstack([heads, np.zeros((1, K), np.int64)]), np.append(mass, 0.0)
-
-            def of(f: np.ndarray) -> np.ndarray:
-                k = np.searchsorted(owner, f)  # noqa: B023
-                return np.where(np.append(owner, -1)[k] == f, k, len(owner))  # noqa: B023
-
-            batch, done = t.column("batch").to_pylist(), 0
-            for b, f, s in zip(batch, firsts, seconds, strict=True):
-                k = of(f.astype(np.int64))
-                yield record({"kind": [0], "batch": [b], "shard": [shard], "counts": [squeeze(total[at[done : done + len(s)]])], "heads": [squeeze(heads[k].astype("<u4").ravel())], "seen": [squeeze(mass[k])], "ids": [None], "stats": [None], "sums": [None]}, BIGRAM_ANSWERS)
-                done += len(s)
-            hot = np.unique(all_firsts[hots])
-            k = of(hot)
-            n = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist()
-            yield record({"kind": [1, 2], "batch": [None] * 2, "shard": [shard] * 2, "counts": [None] * 2, "heads": [None] * 2, "seen": [None] * 2, "ids": [None, hot], "stats": [n, heads[k].ravel()], "sums": [None, mass[k]]}, BIGRAM_ANSWERS)
-
-    out = batches.mapInArrow(send, sent)
-    return out.repartition(shards, "shard").sortWithinPartitions("shard", "batch").mapInArrow(add, BIGRAM_ANSWERS)
+            yield from _shard(t, shard, k, model, wide)
+        tidy()
+
+    out = state.mapInArrow(send, SENT)
+    return out.repartition(shards, "shard").sortWithinPartitions("shard", "batch").mapInArrow(add, ANSWERS)
+
+
+def _shard(t: pa.Table, shard: int, k: int, model: Model, wide: str) -> Iterator[pa.RecordBatch]:
+    """Add up what the batches sent to one shard, and answer each of them."""
+    read = lambda c, kind: [expand(x, kind) for x in t.column(c).to_pylist()]
+    names = t.column("names").to_pylist()
+    columns = [np.concatenate([risen(x[0]) for x in names]), *(np.concatenate([expand(x[c], wide) for x in names]).astype(np.int64) for c in range(1, k - 1))]
+    sizes = read("sizes", "<u4")
+    owners, owner = _dense(*columns)  # of each history that a batch sent
+    grams, at = _dense(np.repeat(owner, np.concatenate(sizes)), np.concatenate(read("words", wide)))
+    total = np.bincount(at, weights=np.concatenate(read("counts", "<u4")), minlength=grams).astype(np.int64)
+    of, lower = np.empty(grams, np.int64), np.empty(grams, np.int64)
+    of[at] = np.repeat(owner, np.concatenate(sizes))
+    lower[at] = np.concatenate(read("lower", "<i8"))
+    base = np.zeros(owners, np.int64)
+    base[owner] = np.concatenate(read("base", "<i8"))
+    got = np.flatnonzero(total)
+    r, of = total[got], of[got]
+    low = r <= K
+    heads = np.bincount(of[low] * K + r[low] - 1, minlength=K * owners).reshape(-1, K)
+    if k == 2:
+        p = model.words.p(lower[got])
+    else:
+        p = model.levels[k - 1].discounts.of(lower[got]) * lower[got] / ((base >> 1) + (base & 1))[of]
+    mass = np.bincount(of, weights=p, minlength=owners)
+    known = np.bincount(of, minlength=owners) > 0
+    none, hot = ~heads.any(axis=1), np.concatenate(read("hot", "?"))
+    blank: dict[str, list] = {x.split()[0]: [None] for x in ANSWERS.split(", ")}
+    done = first = 0
+    for batch, size in zip(t.column("batch").to_pylist(), sizes, strict=True):
+        h, g = owner[first : first + len(size)], at[done : done + int(size.sum())]
+        start = np.cumsum(size.astype(np.int64)) - size
+        asked = h[(np.minimum.reduceat(total[g], start) == 0) & known[h] & ~hot[first : first + len(size)]]
+        yield record(blank | {"kind": [0], "batch": [batch], "shard": [shard], "counts": [squeeze(total[g])], "none": [squeeze(none[h])], "heads": [squeeze(heads[asked].astype("<u4").ravel())], "seen": [squeeze(mass[asked])]}, ANSWERS)
+        done, first = done + len(g), first + len(size)
+    n = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist()
+    yield record(blank | {"kind": [1], "shard": [shard], "stats": [n]}, ANSWERS)
+    hots = np.flatnonzero(hot)
+    _, one = np.unique(owner[hots], return_index=True)
+    hots = hots[one]
+    if len(hots):
+        rows = {"kind": [2] * len(hots), "shard": [shard] * len(hots), "names": np.stack([c[hots] for c in columns], axis=1).tolist(), "stats": heads[owner[hots]].tolist(), "mass": mass[owner[hots]]}
+        yield record({c: rows.get(c, [None] * len(hots)) for c in blank}, ANSWERS)
 
 
 def _rows(rows: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -303,37 +468,34 @@ def _rows(rows: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             pa.default_memory_pool().release_unused()
 
 
-def scores(batches: DataFrame, shards: int, words: Unigrams, discounts: Discounts, hot: dict[int, tuple[np.ndarray, float]]) -> DataFrame:
-    """Sum of log10 probabilities per document: bigram where it was seen, else weight times unigram, else the unknown class."""
+def _local(r: dict, order: int, model: Model, shards: int, told: int) -> Local:
+    """A batch's grams up to an order, with the answers of the orders up to ``told``."""
+    b = Local(r, order, model, shards)
+    for k in range(2, told + 1):
+        b.learn(k, r.pop(f"told{k}"))
+    return b
+
+
+def scores(state: DataFrame, order: int, shards: int, model: Model) -> DataFrame:
+    """Sum of log10 probabilities per document: each token's with the longest history that its place allows."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(rows):
-            b = Local(r, shards, HOT * words.total)
-            heads, seen, count = np.zeros((len(b.ids), K)), np.zeros(len(b.ids)), np.zeros(len(b.first), np.int64)
-            by_shard = {a["shard"]: a for a in r["bigrams"]}
-            for s, p in b.parts:
-                a = by_shard[s]
-                count[p] = expand(a["counts"], "<i8")
-                f, _ = b.histories(p)
-                heads[f] = expand(a["heads"], "<u4").reshape(-1, K)
-                seen[f] = expand(a["seen"], "<f8")
-            for k in np.flatnonzero(b.hot):
-                heads[k], seen[k] = hot.get(int(b.ids[k]), (0, 0.0))
-            history = np.maximum(b.totals, 1)
-            freed = heads @ discounts.freed / history
-            none = freed <= 0
-            freed = np.where(none, 1 / (history + 1), freed)
-            scale = np.where(none, history / (history + 1), 1.0) / history
-            weight = np.where(b.totals > 0, freed / np.maximum(1 - seen, words.unknown), 1.0)
-            p = np.where(count > 0, discounts.of(count) * count * scale[b.first], weight[b.first] * words.p(b.totals[b.second]))
-            base = np.log10((b.totals + 0.1) / (words.total + 0.1 * (words.kinds + 1)))
+            b, words = _local(r, order, model, shards, order), model.words
+            logs = np.zeros(len(b.offset))
+            for k in range(1, order + 1):  # token i has the order i + 2 at most, for it follows i words and the begin
+                here = b.offset == k - 2 if k < order else b.offset >= k - 2
+                logs[here] = np.log10(b.probabilities(k)[b.at[k][here]]) if here.any() else 0.0
+            base = np.log10((b.counts[1] + 0.1) / (words.total + 0.1 * (words.kinds + 1)))
             add = lambda x: np.add.reduceat(x, b.starts)  # noqa: B023, E731
+            tokens = b.at[1]
             yield record({
-                "doc_id": r["doc_ids"], "held_out": [bool(h) for h in r["held"]], "n_tokens": b.sizes, "n_known": add((b.totals[b.tokens] > 0).astype(np.int64)),
-                "train_tokens": [words.total] * len(b.sizes), "base_score": add(base[b.tokens]), "score": add(np.log10(p)[b.at]),
+                "doc_id": r["doc_ids"], "held_out": [bool(h) for h in r["held"]], "n_tokens": b.sizes, "n_known": add((b.counts[1][tokens] > 0).astype(np.int64)),
+                "train_tokens": [words.total] * len(b.sizes), "base_score": add(base[tokens]), "score": add(logs),
             }, RESULT)
+        tidy()
 
-    return batches.mapInArrow(run, RESULT)
+    return state.mapInArrow(run, RESULT)
 
 
 def _sums(df: DataFrame, width: int) -> list[int]:
@@ -341,7 +503,13 @@ def _sums(df: DataFrame, width: int) -> list[int]:
     return [int(x or 0) for x in row]
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BATCH_TOKENS) -> DataFrame:
+def _hot_sums(answers: DataFrame) -> dict[tuple[int, ...], tuple[np.ndarray, float]]:
+    """At most one history per share of a token's count: a bounded number, see ``score``."""
+    sums = answers.where("kind = 2").groupBy("names").agg(F.sum("mass"), *[F.sum(F.col("stats")[k]) for k in range(K)])
+    return {tuple(r[0]): (np.array(r[2:], float), r[1]) for r in sums.collect()}
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, most: int = BATCH_TOKENS, per_shard: int = SHARD_TOKENS) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32 of the id as text is divisible by 10 are held out; a null
@@ -349,19 +517,25 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: i
     Repeated rows count and are scored each.  With nothing to learn from, every
     token is unknown, with probability 1 for the only class.  Other columns,
     whatever their names, are not read; an empty table gives an empty result.
+    ``order`` is the longest n-gram's length; a shard has about ``per_shard``
+    tokens, and a history with half as many tokens as a shard is hot.
     """
-    shards = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    batches = materialise(tokenise(df, id_col, text_col, most, shards), "batches", arrow_rows=512)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    batches = materialise(tokenise(df, id_col, text_col, most), "batches", arrow_rows=512)
+    tokens = batches.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    shards = max(parts, -(-tokens // per_shard))
     answers = materialise(count_words(batches, shards), "words", arrow_rows=8)
     kinds, total, *n = _sums(answers, K + 3)
-    words = unigrams(total, kinds, n)
-    by_batch = answers.where("kind = 0").groupBy("batch").agg(F.collect_list(F.struct("shard", "ids", "totals")).alias("answers"))  # a batch's own words
-    known = batches.drop("words", "counts").join(by_batch, "batch")
-    bigrams = materialise(count_bigrams(known, shards, words), "bigrams", arrow_rows=8)
-    discounts = good_turing(_sums(bigrams, K + 1))
-    entries = bigrams.where("kind = 2").select(F.explode(F.arrays_zip("ids", "sums")).alias("x"), "stats", "ids")
-    at = F.array_position("ids", F.col("x.ids")).cast("int") - 1
-    sums = entries.groupBy(F.col("x.ids").alias("id")).agg(F.sum("x.sums").alias("seen"), *[F.sum(F.col("stats")[at * K + k]).alias(f"n{k}") for k in range(K)])
-    hot = {r[0]: (np.array(r[2:], float), r[1]) for r in sums.collect()}  # at most 1 / HOT words and the begin
-    per_batch = bigrams.where("kind = 0").groupBy("batch").agg(F.collect_list(F.struct("shard", "counts", "heads", "seen")).alias("bigrams"))
-    return materialise(scores(known.join(per_batch, "batch"), shards, words, discounts, hot), "scores", arrow_rows=1)
+    largest = answers.where("kind = 1").agg(F.max(F.col("stats")[K + 3])).first()[0] or 0
+    known = materialise(name_words(batches, answers), "known", arrow_rows=8)
+    drop_scratch(batches)
+    drop_scratch(answers)
+    model = Model(unigrams(total, kinds, n), {}, max(1.0, min(HOT, 0.5 / shards) * total))
+    wide = "<u4" if largest < 1 << 32 else "<u8"
+    state = known
+    for k in range(2, order + 1):
+        told = materialise(count_grams(state, k, shards, model, wide), f"grams{k}", arrow_rows=8)
+        model.levels[k] = Level(good_turing(_sums(told, K + 1)), _hot_sums(told))
+        by_batch = told.where("kind = 0").groupBy("batch").agg(F.collect_list(F.struct("shard", "counts", "none", "heads", "seen")).alias(f"told{k}"))
+        state = state.join(by_batch, "batch")
+    return materialise(scores(state, order, shards, model), "scores", arrow_rows=1)

@@ -10,6 +10,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
@@ -169,48 +170,72 @@ def test_license_with_words_put_in():
             assert licenses.find(w, notice, probes, 0.8) == [(start, w.index("license"), 1.0)]
 
 
-def brute_katz(rows):
+def brute_katz(rows, order):
+    """Scores by plain dictionaries and recursion; histories are tuples, 0 stands for the begin and None for the end."""
     tok = [[*(t or "").encode().lower().split(), None] for _, t in rows]
     train = [i is None or zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in rows]
-    c, b = Counter(), Counter()
+    history = lambda x, j, k: tuple([0, *x][max(0, j + 2 - k) : j + 1])  # noqa: E731  of the token j, for the order k
+    grams = {k: Counter() for k in range(1, order + 1)}
     for x, use in zip(tok, train, strict=True):
-        if use:
-            c.update(x)
-            b.update(zip([0, *x], x, strict=False))
-    total, kinds = sum(c.values()), len(c)
-    n = lambda cc: [Counter(cc.values())[k] for k in range(1, katz.K + 2)]
-    du, db = katz.good_turing(n(c)).d, katz.good_turing(n(b)).d
-    at = lambda d, r: d[min(r, katz.K + 1)] * r
-    unknown = 1 - sum(at(du, r) for r in c.values()) / total
-    uni = lambda w: at(du, c[w]) / total if w in c else unknown
+        for j, w in enumerate(x if use else []):
+            for k in range(1, min(order, j + 2) + 1):
+                grams[k][(*(history(x, j, k) if k > 1 else ()), w)] += 1
+    total, kinds = sum(grams[1].values()), len(grams[1])
+    d = {k: katz.good_turing([Counter(c.values())[r] for r in range(1, katz.K + 2)]).d for k, c in grams.items()}
+    kept = lambda k, r: d[k][min(r, katz.K + 1)] * r
+    unknown = 1 - sum(kept(1, r) for r in grams[1].values()) / total
     after = defaultdict(dict)
-    for (h, w), r in b.items():
-        after[h][w] = r
+    for k in range(2, order + 1):
+        for g, r in grams[k].items():
+            after[g[:-1]][g[-1]] = r
 
     def p(h, w):
+        if not h:
+            r = grams[1][(w,)]
+            return kept(1, r) / total if r else unknown
         f = after.get(h)
         if not f:
-            return uni(w)
-        size = sum(f.values())
-        freed, scale = 1 - sum(at(db, r) for r in f.values()) / size, 1.0
-        if freed < 1e-12:
-            freed, scale = 1 / (size + 1), size / (size + 1)
-        return at(db, f[w]) / size * scale if w in f else freed / (1 - sum(map(uni, f))) * uni(w)
-
-    for h in list(after)[:20]:
-        assert abs(sum(p(h, w) for w in c) + p(h, "unknown") - 1) < 1e-9
-    return [(i, sum(math.log10(p(h, w)) for h, w in zip([0, *x], x, strict=False)), sum(math.log10((c[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in x), len(x), sum(w in c for w in x), total) for (i, _), x in zip(rows, tok, strict=True)]
-
-
-@pytest.mark.parametrize("most", [10**6, 50])
-def test_katz(docs, rows, empty, most):
+            return p(h[1:], w)
+        size, k = sum(f.values()), len(h) + 1
+        if all(r > katz.K for r in f.values()):
+            return f[w] / (size + 1) if w in f else 1 / (size + 1) / (1 - sum(p(h[1:], x) for x in f)) * p(h[1:], w)
+        if w in f:
+            return kept(k, f[w]) / size
+        return (1 - sum(kept(k, r) for r in f.values()) / size) / (1 - sum(p(h[1:], x) for x in f)) * p(h[1:], w)
+
+    words = [g[0] for g in grams[1]]
+    for k in range(2, order + 1):
+        for h in [h for h in after if len(h) == k - 1][:7]:
+            assert abs(sum(p(h, w) for w in words) + p(h, "unknown") - 1) < 1e-9
+    base = lambda w: math.log10((grams[1][(w,)] + 0.1) / (total + 0.1 * (kinds + 1)))
+    known = {}
+
+    def score(x):
+        key = tuple(x)
+        if key not in known:
+            known[key] = sum(math.log10(p(history(x, j, order) if order > 1 else (), w)) for j, w in enumerate(x))
+        return known[key]
+
+    return [(i, score(x), sum(map(base, x)), len(x), sum((w,) in grams[1] for w in x), total) for (i, _), x in zip(rows, tok, strict=True)]
+
+
+@pytest.mark.parametrize(("order", "most", "per_shard"), [(3, 10**6, 10**6), (3, 50, 900), (2, 50, 10**6), (4, 200, 3000), (1, 100, 10**6)])
+def test_katz(docs, rows, order, most, per_shard):
+    rows = [(i, t if not t or len(t) < 9000 else t[:3000]) for i, t in rows]
+    df = docs.withColumn("text", F.when(F.length("text") < 9000, F.col("text")).otherwise(F.substring("text", 1, 3000)))
     key = lambda r: (str(r[0]), round(r[1], 6))
-    want = sorted(brute_katz(rows), key=key)
-    got = sorted(((r.doc_id, r.score, r.base_score, r.n_tokens, r.n_known, r.train_tokens) for r in katz.score(docs, most=most).collect()), key=key)
+    want = sorted(brute_katz(rows, order), key=key)
+    got = sorted(((r.doc_id, r.score, r.base_score, r.n_tokens, r.n_known, r.train_tokens) for r in katz.score(df, order=order, most=most, per_shard=per_shard).collect()), key=key)
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
-        assert g[0] == w[0] and g[3:] == w[3:] and math.isclose(g[1], w[1], rel_tol=1e-9) and math.isclose(g[2], w[2], rel_tol=1e-9)
+        assert g[0] == w[0] and g[3:] == w[3:] and math.isclose(g[1], w[1], rel_tol=1e-8) and math.isclose(g[2], w[2], rel_tol=1e-9)
+
+
+def test_katz_odd_tables(docs, rows, empty):
     assert katz.score(empty).count() == 0
+    assert Counter(r.doc_id for r in katz.score(docs).collect()) == Counter(i for i, _ in rows)
+    held = docs.where("doc_id is not null").withColumn("doc_id", F.lit(next(k for k in range(99) if zlib.crc32(str(k).encode()) % 10 == 0)).cast("long"))
+    assert all(r.score == 0 and r.train_tokens == 0 and r.held_out for r in katz.score(held).collect())
 
 
 def test_quality(spark, docs, rows, empty):
