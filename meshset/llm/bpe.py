@@ -8,23 +8,28 @@ The machine therefore reads symbol by symbol and keeps, for the few last
 positions that a later token may still reach back to, the last token of the
 encoding that ends there.  That window is its state: finitely many exist, and
 each transition is worked out once and kept.
+
+Which characters are letters, numbers or white space, and how text is normalised,
+is asked of the tokenizer file's own normalizer and splitter, as the answers
+depend on their version of Unicode; ASCII needs no asking.
 """
 
 from __future__ import annotations
 
 import gc
 import json
-import unicodedata
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import regex
+from tokenizers import Tokenizer
 
-#: White space as the tokenizer libraries' patterns take it (fixed values).
+#: White space as the tokenizer libraries' patterns take it, to stand in a class of a pattern (fixed values).
 WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 END_OF_WORD, EMIT = 256, 512
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
+_SPACE = regex.compile(f"[{WS}]")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -40,6 +45,7 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             self.spec = json.load(f)
+        self.library = Tokenizer.from_file(path)  # its normalizer and its splitter; merges are ours
         model = self.spec["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
@@ -190,19 +196,11 @@ class Machine:
         got = self.next[state << 9 | symbol] = to << 27 | t << 10 | emitted + EMIT
         return got
 
-    def count(self, symbols: Iterable[int]) -> int:
-        """Tokens of one piece: the sum of what its transitions emit."""
-        if len(self.states) > self.max_states:
-            self.reset()
-        get, build, s, total, n = self.next.get, self.build, 0, 0, 0
-        for c in symbols:
-            hit = get(s << 9 | c) or build(s, c)
-            s = hit >> 27
-            total += hit & 1023
-            n += 1
-        return total - EMIT * n
-
     def encode(self, symbols: list[int] | bytes) -> list[int]:
+        """Ids of one piece."""
+        return [i for ids in self.stream(symbols) for i in ids]
+
+    def stream(self, symbols: Iterable[int]) -> Iterator[list[int]]:
         """Ids of one piece, emitted as soon as no later symbol can change them.
 
         Positions further back than the lookahead are settled once the chains of
@@ -213,7 +211,6 @@ class Machine:
             self.reset()
         get, build, s, limit = self.next.get, self.build, 0, 8 * self.v.longest
         last: list[int] = []  # last[i]: the last token after i + 1 symbols that aren't emitted yet
-        out: list[int] = []
         for c in symbols:
             hit = get(s << 9 | c) or build(s, c)
             s = hit >> 27
@@ -225,7 +222,7 @@ class Machine:
                     live.discard(p)
                     live.add(p - self.v.width[last[p - 1]])
                 stable = live.pop()
-                out += self._back(last, stable)
+                yield self._back(last, stable)
                 last = last[stable:]
                 limit = len(last) + 8 * self.v.longest
                 if len(self.states) > self.max_states:  # the state goes on in a fresh table
@@ -233,7 +230,7 @@ class Machine:
                     self.reset()
                     s = self.ids.setdefault(here, 1)
                     self.states.append(here)
-        return out + self._back(last, len(last))
+        yield self._back(last, len(last))
 
     def _back(self, last: list[int], end: int) -> list[int]:
         got, width = [], self.v.width
@@ -248,12 +245,14 @@ class Machine:
 class WordBpe:
     """Lower-casing BPE with word ends (NFC, white space dropped): texts to ids and back.
 
-    ``ids_bytes`` gives a text's ids as little-endian 32-bit integers.  Pieces never
-    reach over white space, so the ids of each run of other characters are kept in a
-    table of bounded size.
+    ``ids_bytes`` gives a text's ids as little-endian 32-bit integers, ``stream``
+    the same in blocks.  Pieces never reach over white space, so the ids of each
+    run of other characters are kept in a table of bounded size.
     """
 
-    PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    #: The file's pattern for text that is ASCII and lower case already.
+    PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\s0-9a-z]+")
+    LONG, BLOCK = 1 << 12, 1 << 16
 
     def __init__(self, path: str, kept: int = 700_000):
         self.v = Vocabulary(path)
@@ -261,19 +260,28 @@ class WordBpe:
         if kinds != ["NFC", "Replace", "Lowercase"] or not self.v.suffix:
             raise ValueError("this file is not a lower-casing BPE with word ends")
         self.machine = Machine(self.v)
-        self.special = regex.compile("(" + "|".join(map(regex.escape, self.v.special)) + ")") if self.v.special else None
+        self.special = regex.compile("|".join(map(regex.escape, self.v.special))) if self.v.special else None
         self.table = _Table(self._run, kept)
         self.pieces = _Table(self._piece, kept // 2)
 
-    def _piece(self, piece: str) -> bytes:
-        symbols = [*piece.encode("utf-8")]
+    def _symbols(self, piece: bytes) -> list[int]:
+        symbols = [*piece]
         symbols[-1] += END_OF_WORD
-        return array("I", self.machine.encode(symbols)).tobytes()
+        return symbols
+
+    def _piece(self, piece: bytes) -> bytes:
+        return array("I", self.machine.encode(self._symbols(piece))).tobytes()
+
+    def _split(self, run: str) -> list[bytes]:
+        """The pieces of a run of other characters than white space, as the file's normalizer and splitter make them."""
+        if run.isascii():
+            run = run.lower()
+            return [run.encode()] if run.isalpha() else [x.encode() for x in self.PIECE.findall(run)]
+        norm, raw = self.v.library.normalizer.normalize_str(run), self.v.bytes_of
+        return [bytes(map(raw.__getitem__, x)) for x, _ in self.v.library.pre_tokenizer.pre_tokenize_str(norm)]
 
     def _run(self, run: str) -> bytes:
-        if run.isalpha():
-            return self.pieces[run]
-        return b"".join(map(self.pieces.__getitem__, self.PIECE.findall(run)))
+        return b"".join(map(self.pieces.__getitem__, self._split(run)))
 
     def forget(self) -> None:
         """Start all tables anew, where other work follows in the same process."""
@@ -283,32 +291,67 @@ class WordBpe:
         self.v._apart.clear()
 
     def runs(self, text: str) -> list[str]:
-        """The normalised text's runs of characters other than white space."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
+        """The text's runs of characters other than white space; composing and lower-casing never reach over it."""
+        if text.isascii():
+            text = text.lower()
         return [w for w in regex.split(f"[{WS}]+", text) if w] if _ODD_SPACE.search(text) else text.split()
 
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self.table.__getitem__, self.runs(text)))
 
-    def has_special(self, text: str) -> bool:
-        return any(s in text for s in self.v.special)
+    def _parts(self, text: str) -> Iterator[tuple[str, int | None]]:
+        """What lies between special strings, and the id of the one that follows."""
+        at = 0
+        if any(s in text for s in self.v.special):
+            for m in self.special.finditer(text):
+                yield text[at : m.start()], self.v.special[m[0]]
+                at = m.end()
+        yield text[at:] if at else text, None
 
     def ids_bytes(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.has_special(text):
-            return self._plain(text)
-        parts = self.special.split(text)
-        return b"".join(self.v.special[p].to_bytes(4, "little") if k % 2 else self._plain(p) for k, p in enumerate(parts))
+        out = [self._plain(x) + (b"" if i is None else i.to_bytes(4, "little")) for x, i in self._parts(text or "")]
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def stream(self, text: str | None) -> Iterator[list[int]]:
+        """A text's ids in blocks; no block grows with the text, not even where it has no white space."""
+        for part, special in self._parts(text or ""):
+            for block in self._blocks(part):
+                if len(block) <= 2 * self.BLOCK:
+                    yield array("I", self._plain(block)).tolist()
+                    continue
+                for run in self.runs(block):
+                    for piece in self._split(run):
+                        yield from self.machine.stream(self._symbols(piece))
+            if special is not None:
+                yield [special]
+
+    def _blocks(self, text: str) -> Iterator[str]:
+        """The text in blocks that end before white space, of about ``BLOCK`` characters where there is any."""
+        at = 0
+        while len(text) - at > self.BLOCK:
+            m = _SPACE.search(text, at + self.BLOCK)
+            if not m:
+                break
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:] if at else text
 
 
 class ByteBpe:
-    """Byte-level BPE whose pieces start at white space: token counts of whole texts."""
+    """Byte-level BPE whose pieces start at white space, as one transducer over the characters of whole texts.
+
+    A state is what kind of piece is open, the state of ``Machine`` inside it, and
+    for white space its last character and what that added.  A transition on a
+    character carries by how much the token count of what was read changes, taken
+    as a text of its own, so the sum over any text is its token count.  States are
+    numbers; the transitions, and those of whole units (a run of white space and
+    what follows it), are worked out when first met and kept in tables of bounded
+    size, and ``reset`` starts them anew.
+    """
 
-    PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-    #: No piece holds white space after another character, so each run of white space and what follows it stands alone.
+    CLOSED, LETTER, NUMBER, OTHER, SPACE, QUOTE = 0, 1, 2, 3, 4, 5  # and the character after a quote that awaits its second
+    SECOND = {ord("r"): "e", ord("v"): "e", ord("l"): "l"}
+    BIAS = 1 << 15
     UNIT = regex.compile(f"[{WS}]*[^{WS}]+|[{WS}]+")
 
     def __init__(self, path: str, kept: int = 300_000):
@@ -317,24 +360,116 @@ class ByteBpe:
             raise ValueError("this file is not a plain byte-level BPE")
         self.machine = Machine(self.v)
         self.special = regex.compile("|".join(map(regex.escape, self.v.special))) if self.v.special else None
-        self.table = _Table(self.count_unit, kept)
+        self.kinds = {c: self.LETTER if c.isalpha() else self.NUMBER if c.isdigit() else self.SPACE if c in "\t\n\x0b\x0c\r " else self.OTHER for c in map(chr, range(128))}
+        self.counts = _Table(lambda unit: self.read(0, unit)[1], kept)
+        self.steps = _Table(lambda key: self.read(*key), kept // 4, lambda key: len(key[1]))
+        self.reset()
 
-    def count_piece(self, piece: str) -> int:
-        return self.machine.count(piece.encode("utf-8"))
+    def reset(self) -> None:
+        self.machine.reset()
+        self.states, self.ids, self.next = [(self.CLOSED, 0, "", 0)], {(self.CLOSED, 0, "", 0): 0}, {}
+        self.counts.clear()
+        self.steps.clear()
+
+    @property
+    def full(self) -> bool:
+        return max(len(self.states), len(self.machine.states)) > self.machine.max_states
+
+    def kind(self, c: str) -> int:
+        """What the file's splitter takes a character for, by whether it stays in one piece with one of that kind."""
+        got = self.kinds.get(c)
+        if got is None:
+            parts = self.v.library.pre_tokenizer.pre_tokenize_str
+            got = self.kinds[c] = next((k for k, x in ((self.LETTER, "a"), (self.NUMBER, "1"), (self.OTHER, "!")) if len(parts(x + c)) == 1), self.SPACE)
+        return got
 
-    def count_unit(self, unit: str) -> int:
-        return sum(map(self.count_piece, self.PIECE.findall(unit)))
+    def _feed(self, inner: int, text: str) -> tuple[int, int]:
+        """The machine's state after more of a piece, and the change of its token count."""
+        m, total = self.machine, 0
+        for b in text.encode("utf-8"):
+            hit = m.next.get(inner << 9 | b) or m.build(inner, b)
+            inner, total = hit >> 27, total + (hit & 1023) - EMIT
+        return inner, total
+
+    def _open(self, kind: int, c: str) -> tuple[tuple, int]:
+        inner, n = self._feed(0, c)
+        return (self.QUOTE if c == "'" else kind, inner, "", 0), n
+
+    def _move(self, state: tuple, c: str) -> tuple[tuple, int]:
+        """The transition on one character: the next state and the change of the count."""
+        mode, inner, last, gone = state
+        kind = self.kind(c)
+        if kind == self.SPACE:  # one more of a run, or the first one after another piece
+            inner, n = self._feed(inner if mode == self.SPACE else 0, c)
+            return (self.SPACE, inner, c, n), n
+        if mode == self.SPACE:  # the run's last character leaves it, and a blank joins what follows
+            inner, n = self._feed(0, last)
+            if last != " ":
+                to, more = self._open(kind, c)
+                return to, n + more - gone
+            inner, more = self._feed(inner, c)
+            return (kind, inner, "", 0), n + more - gone
+        if mode == self.QUOTE:
+            if c in ("s", "t", "m", "d"):
+                return (self.CLOSED, 0, "", 0), self._feed(inner, c)[1]
+            if c in ("r", "v", "l"):
+                inner, n = self._feed(0, c)
+                return (ord(c), inner, "", 0), n
+            mode = self.OTHER
+        if self.SECOND.get(mode) == c:
+            apart = self._feed(0, "'")[1] + self._feed(0, chr(mode))[1]
+            return (self.CLOSED, 0, "", 0), self._feed(0, "'" + chr(mode) + c)[1] - apart
+        if mode in self.SECOND:
+            mode = self.LETTER
+        if mode == kind:
+            inner, n = self._feed(inner, c)
+            return (kind, inner, "", 0), n
+        return self._open(kind, c)
+
+    def number(self, state: tuple) -> int:
+        got = self.ids.get(state)
+        if got is None:
+            got = self.ids[state] = len(self.states)
+            self.states.append(state)
+        return got
+
+    def build(self, s: int, c: str) -> int:
+        """Work out one transition and keep it: next state << 16 | change of the count + BIAS."""
+        to, n = self._move(self.states[s], c)
+        got = self.next[s << 21 | ord(c)] = self.number(to) << 16 | n + self.BIAS
+        return got
+
+    def read(self, s: int, text: str) -> tuple[int, int]:
+        """The state after a text that is read from state s, and the change of the count."""
+        get, total = self.next.get, 0
+        for c in text:
+            hit = get(s << 21 | ord(c)) or self.build(s, c)
+            s = hit >> 16
+            total += hit & 0xFFFF
+        return s, total - self.BIAS * len(text)
+
+    def carry(self, s: int) -> int:
+        """The same state in fresh tables, where the old ones are full."""
+        if self.full:
+            mode, inner, last, gone = self.states[s]
+            window = self.machine.states[inner]
+            self.reset()
+            if window not in self.machine.ids:
+                self.machine.ids[window] = len(self.machine.states)
+                self.machine.states.append(window)
+            s = self.number((mode, self.machine.ids[window], last, gone))
+        return s
 
 
 class _Table(dict):
     """A function's values, kept up to a number of entries and then started anew; long keys aren't kept."""
 
-    def __init__(self, fn, most: int):
-        self.fn, self.most = fn, most
+    def __init__(self, fn, most: int, size=len):
+        self.fn, self.most, self.size = fn, most, size
 
     def __missing__(self, key):
         got = self.fn(key)
-        if len(key) <= 64:
+        if self.size(key) <= 64:
             if len(self) >= self.most:
                 self.clear()
             self[key] = got

@@ -1,78 +1,82 @@
 """Token counts by a compiled finite-state tokenizer (operator 5).
 
-``bpe.Machine`` compiles the merge list into a deterministic transducer whose
-transitions carry the number of tokens that they emit.  A text is cut into
-chunks; each chunk is summarised, independently of what stands before it, as a
-map from the state at its start to (state at its end, tokens emitted).  White
-space resets the tokenizer, so such a map is constant from its first boundary
-on: it consists of the head up to there, the count between, and the tail that is
-still open.  Maps are associative under ``compose`` and combine in a prefix scan.
+``bpe.ByteBpe`` compiles pattern and merge list into one deterministic transducer
+over characters whose transitions carry the change of the token count.  Every
+text is cut into chunks, wherever a cut falls.  A chunk is summarised by its state
+map, from states at its start to (state at its end, tokens emitted).  A map covers
+the initial state and every state that the map before it leads to; chunks are read
+from those independently of each other, in rounds, until nothing new comes up.
+White space makes all states one, so behind a chunk's first unit its map is
+constant and one more state costs one more look at that unit.  Maps are associative
+under ``compose`` and combine in a parallel prefix scan; the count is what the
+last entry emits from the initial state.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshset.llm.bpe import ByteBpe, byte_bpe
 from meshset.llm.common import arrow_map
 
-CHUNK = 1 << 16
+#: Characters of a chunk, and chunks of which the maps are held at a time.
+CHUNK, HELD = 2048, 256
+START = 0
+StateMap = dict[int, tuple[int, int]]
+
 
+class Chunk:
+    """A chunk as its first unit, where the state at the start matters, and the constant map of all that follows."""
 
-class ChunkMap(NamedTuple):
-    """head, count and tail; tail is None while no boundary was met (then head is all that was read)."""
+    def __init__(self, bpe: ByteBpe, text: str):
+        units = bpe.UNIT.findall(text)
+        self.bpe, self.first, self.rest = bpe, units[0], None
+        if len(units) > 1:
+            state, n = bpe.steps[START, units[-1]]
+            self.rest = state, n + sum(map(bpe.counts.__getitem__, units[1:-1]))
 
-    head: str
-    count: int
-    tail: str | None
+    def read(self, state: int) -> tuple[int, int]:
+        state, n = self.bpe.steps[state, self.first]
+        return (state, n) if self.rest is None else (self.rest[0], n + self.rest[1])
 
 
-def chunk_map(bpe: ByteBpe, chunk: str) -> ChunkMap:
-    units = bpe.UNIT.findall(chunk)
-    if len(units) < 2:
-        return ChunkMap(chunk, 0, None)
-    return ChunkMap(units[0], sum(map(bpe.table.__getitem__, units[1:-1])), units[-1])
+def state_maps(bpe: ByteBpe, texts: list[str], start: int = START) -> list[StateMap]:
+    """The maps of consecutive chunks, each on the initial states and all that the one before leads to."""
+    chunks = [Chunk(bpe, x) for x in texts]
+    maps: list[StateMap] = [{} for _ in chunks]
+    wanted = [{START}] * len(chunks)
+    wanted[0] = {START, start}
+    while any(wanted):
+        for chunk, m, states in zip(chunks, maps, wanted, strict=True):
+            m.update((s, chunk.read(s)) for s in states)
+        wanted = [set(), *({to for to, _ in a.values()} - b.keys() for a, b in zip(maps, maps[1:], strict=False))]
+    return maps
 
 
-def compose(bpe: ByteBpe, a: ChunkMap, b: ChunkMap) -> ChunkMap:
+def compose(a: StateMap, b: StateMap) -> StateMap:
     """The map of a's text followed by b's."""
-    seam = bpe.UNIT.findall((a.head if a.tail is None else a.tail) + b.head)
-    if a.tail is None and b.tail is None:
-        if len(seam) < 2:
-            return ChunkMap("".join(seam), 0, None)
-        return ChunkMap(seam[0], sum(map(bpe.table.__getitem__, seam[1:-1])), seam[-1])
-    head, tail, count = a.head, b.tail, a.count + b.count
-    if a.tail is None:
-        head, seam = (seam[0], seam[1:]) if seam else ("", [])
-    if b.tail is None:
-        tail, seam = (seam[-1], seam[:-1]) if seam else ("", [])
-    return ChunkMap(head, count + sum(map(bpe.table.__getitem__, seam)), tail)
-
-
-def scan(bpe: ByteBpe, maps: list[ChunkMap]) -> list[ChunkMap]:
+    return {s: (b[to][0], n + b[to][1]) for s, (to, n) in a.items()}
+
+
+def scan(maps: list[StateMap]) -> list[StateMap]:
     """Inclusive prefix scan: each round composes what lies twice as far apart, so a round's steps are independent."""
     step, out = 1, list(maps)
     while step < len(out):
-        out = [m if k < step else compose(bpe, out[k - step], m) for k, m in enumerate(out)]
+        out = [m if k < step else compose(out[k - step], m) for k, m in enumerate(out)]
         step *= 2
     return out
 
 
-def whole(bpe: ByteBpe, maps: list[ChunkMap]) -> ChunkMap:
-    """The last entry of the scan, by the rounds of its up-sweep alone."""
-    while len(maps) > 1:
-        maps = [compose(bpe, *maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-    return maps[0]
-
-
 def count_plain(bpe: ByteBpe, text: str, chunk: int = CHUNK) -> int:
-    if len(text) <= chunk:
-        return sum(map(bpe.table.__getitem__, bpe.UNIT.findall(text)))
-    m = whole(bpe, [chunk_map(bpe, text[k : k + chunk]) for k in range(0, len(text), chunk)])
-    return m.count + sum(map(bpe.count_unit, (m.head, m.tail or "")))
+    """Tokens of a text without special strings; ``HELD`` chunks at a time, so that memory is bounded on any length."""
+    state, total = START, 0
+    for at in range(0, len(text), HELD * chunk):
+        state = bpe.carry(state)
+        texts = [text[k : k + chunk] for k in range(at, min(len(text), at + HELD * chunk), chunk)]
+        state, n = scan(state_maps(bpe, texts, state))[-1][state]
+        total += n
+    return total
 
 
 def count_text(bpe: ByteBpe, text: str | None, chunk: int = CHUNK) -> int:
