@@ -93,17 +93,21 @@ ORACLE: dict[str, str] = {
         SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
         FROM v JOIN least ON least.a = vec_id LEFT JOIN counts ON counts.a = vec_id
     """,
-    # all weights are 1, so the smallest draw is that of the largest hash; the checksum is built bit by bit from its polynomial
+    # the first of 16 draws that meets a shard, by region, rack and place, else the smallest draw of the shards themselves (all weights are
+    # 1, so that of the largest hash); the checksum is built bit by bit from its polynomial
     "op10_sharding": """
         WITH steps AS (SELECT list(c ORDER BY i) AS crc FROM (
                  SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+             k AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key FROM documents),
              d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
                           xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))),
                                           lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) AS text_crc32,
-                          list_transform(range(9), lambda s: CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '@' || (s // 4) || '/' || (s // 2 % 2) || '/' || s), 1, 13) AS BIGINT)) AS draws
-                   FROM documents, steps),
-             p AS (SELECT doc_id, size, text_crc32, CAST(list_position(draws[1:8], list_max(draws[1:8])) - 1 AS INTEGER) AS shard,
-                          CAST(list_position(draws, list_max(draws)) - 1 AS INTEGER) AS grown_shard FROM d)
+                          list_transform(list_transform(range(16), lambda n: md5(key || '@' || n)), lambda m: CAST('0x' || m[1:6] AS BIGINT) % 4 * 4
+                                         + CAST('0x' || m[7:12] AS BIGINT) % 2 * 2 + CAST('0x' || m[13:18] AS BIGINT) % 2) AS met,
+                          list_transform(range(9), lambda s: CAST('0x' || substr(md5(key || '@' || (s // 4) || '/' || (s // 2 % 2) || '/' || (s % 2)), 1, 13) AS BIGINT)) AS own
+                   FROM k, steps),
+             p AS (SELECT doc_id, size, text_crc32, CAST(coalesce(list_filter(met, lambda s: s < 8)[1], list_position(own[1:8], list_max(own[1:8])) - 1) AS INTEGER) AS shard,
+                          CAST(coalesce(list_filter(met, lambda s: s < 9)[1], list_position(own, list_max(own)) - 1) AS INTEGER) AS grown_shard FROM d)
         SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM p
     """,
 }

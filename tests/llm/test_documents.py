@@ -116,14 +116,24 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard(empty, sharding.topology(8), sharding.topology(9)).count() == 0
 
 
-def test_tree_law(spark):
+def test_tree_law(spark, monkeypatch):
     keys = spark.range(6000).selectExpr("cast(id as string) as k")
+    moved = lambda a, b: sharding.shard_of(sharding.shard_of(keys, "k", a, "a"), "k", b, "b").where("a <> b")
     for n in (1, 3, 5, 12):
-        df = sharding.shard_of(sharding.shard_of(keys, "k", sharding.topology(n), "a"), "k", sharding.topology(n + 1), "b")
-        assert df.where(f"a <> b and b <> {n}").count() == 0
-    heavy = [sharding.Leaf(0, 0, 0, 1.0), sharding.Leaf(0, 1, 1, 2.0), sharding.Leaf(1, 0, 2, 3.0)]
-    share = Counter(r.a for r in sharding.shard_of(keys, "k", heavy, "a").collect())
+        assert {r.b for r in moved(sharding.topology(n), sharding.topology(n + 1)).collect()} == {n}
+    tree = lambda *w: sharding.topology(3, racks=1, per_rack=2, weights=dict(enumerate(w)), heaviest=4.0)
+    share = Counter(r.a for r in sharding.shard_of(keys, "k", tree(1.0, 2.0, 3.0), "a").collect())
     assert all(abs(share[k] / 6000 - w / 6) < 0.03 for k, w in ((0, 1), (1, 2), (2, 3)))
+    # a heavier leaf only takes rows, a lighter one only gives them
+    assert {r.b for r in moved(tree(1.0, 2.0, 3.0), tree(1.0, 3.5, 3.0)).collect()} == {1} == {r.a for r in moved(tree(1.0, 3.5, 3.0), tree(1.0, 2.0, 3.0)).collect()}
+    with pytest.raises(ValueError, match="room"):
+        sharding.topology(17)
+    # where no draw meets a shard, the leaves' own draws keep the same law
+    monkeypatch.setattr(sharding, "DRAWS", 1)
+    for n in (1, 5):
+        assert {r.b for r in moved(sharding.topology(n), sharding.topology(n + 1)).collect()} == {n}
+    share = Counter(r.a for r in sharding.shard_of(keys, "k", sharding.topology(5), "a").collect())
+    assert all(abs(share[k] / 6000 - 1 / 5) < 0.03 for k in range(5))
 
 
 def test_licenses(docs, rows, empty):
