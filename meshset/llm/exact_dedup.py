@@ -5,6 +5,7 @@ than a share ``phi`` of all rows; there are at most 2 / phi of them, whatever
 the input.  Their exact winners are found by map-side aggregation and broadcast,
 so copies of frequent texts leave on the map side and never meet in one task.
 All other digests, none with more than that share, take the ordinary shuffle.
+The share falls as partitions grow in number, so no digest makes a straggler.
 """
 
 from __future__ import annotations
@@ -66,43 +67,47 @@ def order(rows: DataFrame) -> F.Column:
     return F.struct((-F.col("points")).alias("points"), F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("uid").alias("uid"))
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phi: float = PHI) -> DataFrame:
+def share(rows: DataFrame) -> float:
+    """From which share of all rows on a digest is heavy: so small that a light one is little beside what a task has anyway."""
+    return min(PHI, 0.25 / int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phi: float | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are so without white space; a null text is empty.
     The row with most code points stays, then the one with the smallest id; a
     null id loses to any other, and of wholly repeated rows exactly one is kept.
     Other columns, whatever their names, are not read.  Empty in, empty out.
+    Light digests are added up before they are shuffled, and rows stream past
+    their group's one result; no group is held in memory.
     """
     rows = materialise(digests(df, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "digests")
-    heavy = materialise(heavy_winners(rows, phi), "heavy")
+    heavy = materialise(heavy_winners(rows, phi or share(rows)), "heavy")
     marked = rows.join(F.broadcast(heavy), "digest", "left")  # at most 2 / phi rows
-    group = Window.partitionBy("digest")
-    light = (
-        marked.where(F.col("size").isNull())
-        .drop("best", "size")
-        .withColumns({"size": F.count("*").over(group), "best": F.min(order(rows)).over(group)})
-    )
-    both = marked.where(F.col("size").isNotNull()).unionByName(light)
+    light = marked.where(F.col("size").isNull()).drop("best", "size")
+    groups = light.groupBy("digest").agg(F.min(order(rows)).alias("best"), F.count("*").alias("size"))
+    both = marked.where(F.col("size").isNotNull()).unionByName(light.join(groups.hint("merge"), "digest"))
     return both.select(
         F.col("id").alias("doc_id"), F.col("best.id").alias("keep_id"), F.col("size").alias("group_size"),
         (F.col("uid") == F.col("best.uid")).alias("kept"), F.col("digest").alias("text_sha256"),
     )
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phi: float = PHI) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phi: float | None = None) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns, under the rules of ``exact_groups``.
 
     Copies of frequent texts are dropped on the map side by the broadcast
-    winners; what is left is shuffled once, by digest.  Columns of ``df`` keep
-    their names even where they clash with those used here.
+    winners; what is left is shuffled once, by digest.  Nulls, empty tables and
+    repeated rows are as there.  Columns of ``df`` keep their names even where
+    they clash with those used here.
     """
     narrow = materialise(digests(df, id_col, text_col).withColumn("uid", F.lit(0).cast("long")), "digests")
-    heavy = heavy_winners(narrow, phi).select(F.col("digest").alias("h_digest"), F.col("best.points").alias("h_points"), F.col("best.id").alias("h_id"))
+    heavy = heavy_winners(narrow, phi or share(narrow)).select(F.col("digest").alias("h_digest"), F.col("best.points").alias("h_points"), F.col("best.id").alias("h_id"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     whole = df.select(F.struct("*").alias("row"), F.sha2(F.regexp_replace(text, SPACE, ""), 256).alias("digest"), F.length(text).cast("long").alias("points"), F.col(id_col).cast("long").alias("id"))
     near = whole.join(F.broadcast(materialise(heavy, "heavy")), F.col("digest") == F.col("h_digest"), "left")
     wins = (F.col("h_points") == -F.col("points")) & F.col("h_id").eqNullSafe(F.col("id"))
     first = Window.partitionBy("digest").orderBy(F.desc("points"), F.col("id").asc_nulls_last())
-    left = near.where(F.col("h_digest").isNull() | wins).withColumn("nth", F.row_number().over(first))
+    left = near.where(F.col("h_digest").isNull() | wins).withColumn("nth", F.row_number().over(first))  # a group's first is found on the map side, too
     return left.where("nth = 1").select("row.*")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from itertools import product
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -96,12 +96,14 @@ def links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
     # a step within one tile's range of counts; others would wrap into another tile
     parts = [f"cast(tile div {base**k} as int) % {base}" for k in range(PARTS)]
     table = F.array(*[F.struct(*[F.lit(x).alias(f"d{k}") for k, x in enumerate(d)], F.lit(sum(x * base**k for k, x in enumerate(d))).alias("by")) for d in steps])
-    left = blocks.select("tile", "block", F.col("fps").alias("a"), F.explode(table).alias("to"))
-    left = left.where(" and ".join(f"{p} + to.d{k} between 0 and {base - 1}" for k, p in enumerate(parts)))
-    left = left.select("block", "a", (F.col("tile") + F.col("to.by")).alias("other"), (F.col("to.by") == 0).alias("same"))
-    right = blocks.select(F.col("tile").alias("other"), F.col("block").alias("block_b"), F.col("fps").alias("b"))
-    pairs = left.join(right, "other").where("not same or block <= block_b")
-    pairs = pairs.select("a", "b", F.expr("same and block = block_b").alias("self"))
+    # which blocks meet is found on their numbers alone; the blocks themselves come to each meeting by two sorted joins
+    keys = blocks.select("tile", "block")
+    left = keys.withColumn("to", F.explode(table)).where(" and ".join(f"{p} + to.d{k} between 0 and {base - 1}" for k, p in enumerate(parts)))
+    left = left.select("tile", "block", (F.col("tile") + F.col("to.by")).alias("tile_b"))
+    met = materialise(left.join(keys.select(F.col("tile").alias("tile_b"), F.col("block").alias("block_b")), "tile_b").where("tile <> tile_b or block <= block_b"), "meetings")
+    other = blocks.select(F.col("tile").alias("tile_b"), F.col("block").alias("block_b"), F.col("fps").alias("b"))
+    pairs = met.join(blocks.withColumnRenamed("fps", "a").hint("merge"), ["tile", "block"]).join(other.hint("merge"), ["tile_b", "block_b"])
+    pairs = pairs.select("a", "b", F.expr("tile = tile_b and block = block_b").alias("self"))
 
     def run(b):
         a, o = b.column(0), b.column(1)
@@ -140,29 +142,39 @@ def classes(docs: DataFrame, radius: int) -> DataFrame:
 
 
 def near_dedup(df: DataFrame, radius: int = 3, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay: one of each group of near copies, the one with the smallest id.
+    """The rows of ``df`` that stay: one of each group of near copies, the one with the smallest id, null last.
 
-    A group whose ids are all null, or that repeats its smallest id, keeps
-    exactly one row all the same.  All columns are kept, under their own names.
+    Rows are known by id and text, so unlike texts under one id, or under a null
+    one, belong to groups of their own; of wholly equal rows that would stay one
+    does.  Null and empty texts have fingerprint zero and form one group.  All
+    columns are kept, under their own names, whatever those are.  Empty in, empty
+    out.  No group is gathered: groups are added up, and rows leave by anti-joins.
     """
-    docs = materialise(fingerprints(df, id_col, text_col, words), "fingerprints", arrow_rows=1024)
-    owner = classes(docs, radius)
-    per_id = docs.join(owner, "fp").groupBy("doc_id").agg(F.count("*").alias("times"), F.count_if(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stay"))
-    # most rows stay, so the table of ids that don't, or that occur more than once, is the small side
-    odd = materialise(per_id.where("times > 1 or stay = 0").select(F.col("doc_id").alias("s_id"), "times"), "odd")
-    rows = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("s_doc"), F.col(text_col).cast("string").alias("s_text"))
-    same = F.col("s_doc").eqNullSafe(F.col("s_id"))
-    once = rows.join(odd, same, "left_anti").select("row.*")
-    repeated = odd.where("times > 1")
-    if repeated.isEmpty():
-        return once
-    # repeated ids: one row for each component that the id names (null: that has no other id), found by fingerprint
-    again = materialise(rows.join(repeated, same, "left_semi"), "again")
-    first = Window.partitionBy("root").orderBy(F.desc(F.length("s_text")), F.xxhash64("s_text"))
-    more = _with_fp(again, words).join(owner, "fp").where(F.col("s_doc").eqNullSafe(F.col("component_id")))
-    return once.unionByName(more.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*"))
-
-
-def _with_fp(rows: DataFrame, words: int) -> DataFrame:
-    fp = F.udf(lambda x: int(np.uint64(fingerprint(x, words)).view(np.int64)), "long")
-    return rows.withColumn("fp", fp("s_text"))
+    key = [F.col(id_col).cast("long").alias("k_id"), F.xxhash64(F.col(text_col).cast("string")).alias("k_text")]
+    seen = materialise(_keyed_fingerprints(df, id_col, text_col, words), "fingerprints", arrow_rows=1024)
+    owner = classes(seen.select(F.col("k_id").alias("doc_id"), "fp"), radius)
+    texts = seen.groupBy("k_id", "k_text", "fp").agg(F.count("*").alias("times"))
+    grouped = materialise(texts.join(owner.select("fp", "root"), "fp"), "grouped")
+    order = F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_text")
+    best = materialise(grouped.groupBy("root").agg(F.min(order).alias("best")), "best")
+    chosen = grouped.join(best, "root").withColumn("stays", order == F.col("best"))
+    # most rows stay, so those that don't, or that have equals, are the small side
+    odd = materialise(chosen.where("not stays or times > 1").select("k_id", "k_text", "stays"), "odd")
+    rows = df.select(F.struct("*").alias("row"), *key)
+    same = lambda side: F.col("k_id").eqNullSafe(side["o_id"]) & (F.col("k_text") == side["o_text"])
+    left_out = odd.select(F.col("k_id").alias("o_id"), F.col("k_text").alias("o_text"))
+    repeated = odd.where("stays").select(F.col("k_id").alias("o_id"), F.col("k_text").alias("o_text"))
+    once = rows.join(left_out, same(left_out), "left_anti").select("row.*")
+    one = rows.join(repeated, same(repeated), "left_semi").groupBy("k_id", "k_text").agg(F.first("row").alias("row")).select("row.*")
+    return once.unionByName(one)
+
+
+def _keyed_fingerprints(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """k_id, k_text (hash of the text) and fp of every row."""
+
+    def run(b):
+        fps = np.array([fingerprint(x, words) for x in b.column(2).to_pylist()], np.uint64)
+        return {"k_id": b.column(0), "k_text": b.column(1), "fp": fps.view(np.int64)}
+
+    text = F.col(text_col).cast("string")
+    return arrow_map(df.select(F.col(id_col).cast("long").alias("k_id"), F.xxhash64(text).alias("k_text"), text.alias("text")), run, "k_id long, k_text long, fp long")
