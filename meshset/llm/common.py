@@ -16,6 +16,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,7 +111,7 @@ def slices(b: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
 
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(),
-    "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<binary>": pa.list_(pa.binary()),
+    "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<float>": pa.list_(pa.float32()), "array<binary>": pa.list_(pa.binary()),
 }
 
 
@@ -143,6 +144,22 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[t
         yield last, pa.Table.from_batches(held)
 
 
+def spanning(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the links between places i and j that connect what ``label`` has apart; ``label`` then has it together."""
+    a_out, b_out = [i[:0]], [j[:0]]
+    while len(i):
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        high, low = np.maximum(label[i], label[j]), np.minimum(label[i], label[j])
+        roots, first = np.unique(high, return_index=True)
+        a_out.append(i[first])
+        b_out.append(j[first])
+        label[roots] = low[first]
+        while (label != label[label]).any():
+            label[:] = label[label]
+    return np.concatenate(a_out), np.concatenate(b_out)
+
+
 def components(edges: DataFrame, tag: str = "cc", rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph of long ids.
 

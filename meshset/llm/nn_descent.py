@@ -10,12 +10,16 @@ that, so an edge below it cannot lead from link to link.  A list that is full of
 links is saturated and doubles, up to ``widest``.  That bounds only what takes
 part in local joins: links that full lists have no room for still connect their
 ends, by spanning forests of them.  For exact counts the components of all links
-found are compared in full, in blocks.  The recall is audited against brute force for a bounded sample of
-vectors, and with too little of it the search runs on with more tables.
+found are compared in full, in blocks.  The recall is audited against brute force
+for a bounded sample of vectors, which grows until it holds enough linked ones; it is
+the mean of what linked vectors have found of their links.  With too little of it the
+search runs on with more tables, and where those are used up all vectors of a label
+are compared in blocks, so no links are missed; what happened is logged and reported.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,19 +27,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshset.llm.common import components, materialise, record, runs
+from meshset.llm.common import components, drop_scratch, materialise, record, runs, spanning
 
-TABLES, WINDOW, LIST, WIDEST, ROUNDS, BLOCK, AUDIT, RECALL = 8, 24, 16, 64, 6, 4096, 1024, 0.97
+TABLES, MOST_TABLES, WINDOW, LIST, WIDEST, ROUNDS, RECALL = 8, 32, 24, 16, 64, 6, 0.97
+#: Vectors in a block of a full comparison, at least and at most; up to 16 blocks are small.
+SMALL, BLOCK = 256, 4096
+#: Vectors that are audited, at first and at most, and linked ones that suffice.
+AUDIT, MOST_AUDITED, LINKED = 1024, 16384, 100
+log = logging.getLogger(__name__)
+
+
+def _kind(df: DataFrame, vector_col: str) -> str:
+    """Floats travel as floats; all arithmetic is in double precision."""
+    return "array<float>" if df.select(vector_col).schema[0].dataType.simpleString() == "array<float>" else "array<double>"
 
 
 def unit_vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """Distinct vectors of a label, as unit vectors of doubles: vid, label, vec, copies (how many rows have it).
+    """Rows with vectors that can link: id, label, vec.
 
     Rows whose vector is null, empty, zero, or holds a null or a non-finite
     component, or whose label is null, link with nothing and are left out.
     """
     v = F.col("vec")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vec"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(_kind(df, vector_col)).alias("vec"))
     good = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     return rows.where(F.col("label").isNotNull() & v.isNotNull() & good)
 
@@ -53,7 +67,7 @@ def _unit(column: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
 
 def codes(vectors: DataFrame, tables: range, bits: int = 62) -> DataFrame:
     """One row per vector and table: tab, label, dim, code, vid, vec; the code's bits are sides of random hyperplanes."""
-    schema = "tab int, label string, dim int, code long, vid long, vec array<double>"
+    schema = f"tab int, label string, dim int, code long, vid long, vec {vectors.schema['vec'].dataType.simpleString()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -212,54 +226,69 @@ def forest(pivots: DataFrame, vectors: DataFrame, threshold: float, most: int =
     return _joined(pivots, vectors).mapInArrow(run, schema)
 
 
-def count_links(members: DataFrame, vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """vid and linked (rows of other vectors linked with it): each component compared in full, block by block.
+def compare(members: DataFrame, vectors: DataFrame, threshold: float, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """Each group compared in full, block by block: rows (vid, linked, other).
 
-    ``members`` has node and root.  Blocks of a large component are compared in
-    separate tasks, and each passes on one number per vector, never its pairs.
+    ``members`` has node and root.  With ``other`` null, ``linked`` is a number of
+    rows of other vectors linked with vid; with ``linked`` null, vid and other are
+    linked, and such rows connect whatever is linked within two blocks.  Pairs of
+    blocks of a large group are separate tasks; each passes on one number per vector
+    and a spanning forest, never its pairs.
     """
-    sizes = materialise(members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "sizes")
+    n = F.count("*")
+    blocks = F.greatest(F.least(F.ceil(n / small), F.lit(16)), F.ceil(n / block)).cast("int")
+    sizes = materialise(members.groupBy("root").agg(blocks.alias("blocks")), "sizes")
     rows = members.join(sizes, "root").join(vectors, members["node"] == vectors["vid"])
     rows = rows.select("root", "vid", "vec", "copies", "blocks", F.expr("cast(pmod(xxhash64(vid), blocks) as int)").alias("own"))
     # the pair (i, j) of blocks gets the rows of i as its left and those of j as its right side
     spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vid", "vec", "copies")
-    schema = "vid long, linked long"
+    schema = "vid long, linked long, other long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), t in runs(batches, ["root", "i", "j"]):
             ids, copies, own = (t.column(c).to_numpy() for c in ("vid", "copies", "own"))
             m = _unit(t.column("vec"))
-            if i == j:
-                linked = np.zeros(len(ids), np.int64)
-                for k in range(0, len(ids), 1024):
-                    near = m[k : k + 1024] @ m.T >= threshold
-                    near[np.arange(len(near)), np.arange(k, k + len(near))] = False
-                    linked[k : k + 1024] = near @ copies
-                yield record({"vid": ids, "linked": linked}, schema)
-                continue
-            a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            of_b = np.zeros(len(b), np.int64)
-            of_a = []
-            for k in range(0, len(a), 1024):
-                near = m[a[k : k + 1024]] @ m[b].T >= threshold
-                of_a.append(near @ copies[b])
-                of_b += copies[a[k : k + 1024]] @ near
-            yield record({"vid": np.concatenate([ids[a], ids[b]]), "linked": np.concatenate([*of_a, of_b])}, schema)
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            linked, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+            for k in range(0, len(left), 1024):
+                part = left[k : k + 1024]
+                near = m[part] @ m[right].T >= threshold
+                if i == j:
+                    near[np.arange(len(part)), np.arange(k, k + len(part))] = False
+                else:
+                    linked[right] += copies[part] @ near
+                linked[part] += near @ copies[right]
+                a, b = np.nonzero(near)
+                a, b = spanning(part[a], right[b], label)
+                yield record({"vid": ids[a], "linked": [None] * len(a), "other": ids[b]}, schema)
+            yield record({"vid": ids, "linked": linked, "other": [None] * len(ids)}, schema)
+
+    return spread.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, schema)
+
 
-    parts = spread.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, schema)
-    return parts.groupBy("vid").agg(F.sum("linked").alias("linked"))
+def _link_counts(compared: DataFrame) -> DataFrame:
+    return compared.where(F.col("linked").isNotNull()).groupBy("vid").agg(F.sum("linked").alias("linked"))
 
 
-def audit(vectors: DataFrame, found: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Recall: links found over links there are, for a bounded sample of vectors compared with all of their label.
+def audit(vectors: DataFrame, found: DataFrame, threshold: float) -> float | None:
+    """Recall: the mean share of its links that a linked vector has found, for a bounded sample compared with all of their label.
 
-    At most ``sample`` vectors, those with the smallest hashes, are taken to the
-    tasks; 1.0 if none of them has a link.
+    Samples of the vectors with the smallest hashes grow until ``LINKED`` of them
+    have links, or to ``MOST_AUDITED`` vectors; None if not even one of those has.
     """
+    sample = AUDIT
+    while True:
+        there = _true_counts(vectors, threshold, sample)
+        got = there.join(found, "vid", "left").where("there > 0").agg(F.count("*"), F.avg(F.coalesce("linked", F.lit(0)) / F.col("there"))).first()
+        if got[0] >= LINKED or sample >= MOST_AUDITED:
+            return got[1]
+        sample *= 4
+
+
+def _true_counts(vectors: DataFrame, threshold: float, sample: int) -> DataFrame:
+    """vid and there (rows of other vectors linked with it) of a sample, by brute force; at most ``sample`` vectors are taken to the tasks."""
     picked = vectors.orderBy(F.xxhash64("vid"), "vid").limit(sample).select("vid", "label", "vec").collect()
-    if not picked:
-        return 1.0
     groups: dict[tuple[str, int], list] = {}
     for vid, label, vec in picked:
         groups.setdefault((label, len(vec)), []).append((vid, vec))
@@ -278,12 +307,18 @@ def audit(vectors: DataFrame, found: DataFrame, threshold: float, sample: int =
                 near = (q @ _unit(c["vec"].take(pa.array(at))).T >= threshold) & (ids[:, None] != there[None, :])
                 yield record({"vid": ids, "linked": near @ copies}, schema)
 
-    true = vectors.mapInArrow(run, schema).groupBy("vid").agg(F.sum("linked").alias("there"))
-    got = true.join(found, "vid", "left").agg(F.sum("there"), F.sum(F.coalesce("linked", F.lit(0)))).first()
-    return 1.0 if not got[0] else got[1] / got[0]
+    return vectors.mapInArrow(run, schema).groupBy("vid").agg(F.sum("linked").alias("there"))
+
+
+def complete(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(members, linked) by comparing all vectors of a label: the exact way where the descent finds too little."""
+    every = vectors.select(F.col("vid").alias("node"), F.xxhash64("label", F.size("vec")).alias("root"))
+    compared = materialise(compare(every, vectors, threshold), "compared")
+    edges = compared.where(F.col("other").isNotNull()).select(F.col("vid").alias("a"), F.col("other").alias("b"))
+    return materialise(components(edges), "members"), materialise(_link_counts(compared), "linked")
 
 
-def near_vectors(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", report: dict | None = None) -> DataFrame:
     """One row per input row: vec_id, n_links (other vectors linked), component_id, kept (vec_id = component_id).
 
     Only rows with equal labels are compared; a null label and a vector that is
@@ -291,7 +326,9 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id",
     and so do vectors of different lengths.  Equal vectors of a label are one
     class whose members link with each other; they are compared once.  A null
     id is its own component unless linked; component ids are smallest non-null
-    ids.  Other columns, whatever their names, are not read.
+    ids.  Other columns, whatever their names, are not read.  Empty in, empty out.
+    ``report`` gets the audited recall (None where no audited vector has a link),
+    the number of tables, and whether the links were completed by full comparison.
     """
     spark = df.sparkSession
     floor = 2 * threshold * threshold - 1
@@ -308,6 +345,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id",
         old, graph = graph, materialise(first if graph is None else shorten(graph.unionByName(first), threshold), "graph")
         if old is not None:
             joined = joined.unionByName(dropped(old, graph, threshold))
+            drop_scratch(old)
         size = graph.agg(F.count("*"), F.sum("sim")).first()
         for _ in range(ROUNDS if size[0] else 0):
             pivots = pivots_of(graph)
@@ -315,21 +353,30 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id",
             full = materialise(saturated(graph, threshold), "saturated")
             if not full.isEmpty():
                 joined = joined.unionByName(materialise(forest(pivots.join(full, "vid"), vectors, threshold), "forest")).unionByName(dropped(old, graph, threshold))
+            drop_scratch(old)
+            drop_scratch(pivots)
             new = graph.agg(F.count("*"), F.sum("sim")).first()
             if new[0] == size[0] and abs(new[1] - size[1]) <= 1e-9 * max(1, abs(size[1])):
                 break
             size = new
         members = materialise(components(graph.where(F.col("sim") >= threshold).select("a", "b").unionByName(joined)), "members")
-        linked = materialise(count_links(members, vectors, threshold), "linked")
-        if audit(vectors, linked, threshold) >= RECALL or tables.stop >= 4 * TABLES:
+        linked = materialise(_link_counts(compare(members, vectors, threshold)), "linked")
+        recall = audit(vectors, linked, threshold)
+        if recall is None or recall >= RECALL or tables.stop >= MOST_TABLES:
             break
         tables = range(tables.stop, 2 * tables.stop)
+    completed = recall is not None and recall < RECALL
+    if completed:
+        members, linked = complete(vectors, threshold)
+    log.info("recall %s with %s tables, completed: %s", recall, tables.stop, completed)
+    if report is not None:
+        report.update(recall=recall, tables=tables.stop, completed=completed)
     named = materialise(members.join(vectors, members["node"] == vectors["vid"]).select("root", "vid", "low"), "named")
     least = materialise(named.groupBy("root").agg(F.min("low").alias("low_id")), "least")
     found = named.join(least, "root").select("vid", "low_id").join(linked, "vid")
     full = materialise(vectors.join(found, "vid", "left").select("label", "vec", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("low_id", "low").alias("component_id")), "full")
     linkable = rows.join(full, ["label", "vec"]).select(F.col("id").alias("vec_id"), "n_links", "component_id")
-    all_rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vec"))
+    all_rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(_kind(df, vector_col)).alias("vec"))
     v = F.col("vec")
     bad = F.col("label").isNull() | v.isNull() | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists(v, lambda x: x.isNotNull() & (x != 0))
     alone = all_rows.where(F.coalesce(bad, F.lit(True))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from meshset.llm.common import arrow_map, components, materialise
+from meshset.llm.common import arrow_map, components, materialise, spanning
 
 SEED, PARTS, BLOCK = 42, 4, 8192
 
@@ -67,17 +67,8 @@ def _forest(left: np.ndarray, right: np.ndarray | None, radius: int, cells: int
         near = np.bitwise_count(left[k : k + rows, None] ^ other[None, :]) <= radius
         near &= label[k : min(k + rows, len(left)), None] != label[None, shift:]
         i, j = np.nonzero(near)
-        i, j = i + k, j + shift
-        while len(i):
-            high, low = np.maximum(label[i], label[j]), np.minimum(label[i], label[j])
-            roots, first = np.unique(high, return_index=True)
-            a_out.append(i[first])
-            b_out.append(j[first])
-            label[roots] = low[first]
-            while (label != label[label]).any():
-                label = label[label]
-            apart = label[i] != label[j]
-            i, j = i[apart], j[apart]
+        for out, x in zip((a_out, b_out), spanning(i + k, j + shift, label), strict=True):
+            out.append(x)
     if not a_out:
         return both[:0], both[:0]
     return both[np.concatenate(a_out)], both[np.concatenate(b_out)]

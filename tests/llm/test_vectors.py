@@ -44,3 +44,34 @@ def test_groups_wider_than_lists(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_vectors(df).collect()}
     assert got == {k: (199, 0) for k in range(200)}
+
+
+def test_completed_where_the_descent_finds_too_little(spark, monkeypatch):
+    """One table with a window of one and no rounds misses links; they are found by full comparison, and that is reported."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 16))
+    rows = [(k, (centres[k % 40] + 0.05 * rng.standard_normal(16)).tolist(), "ab"[k % 2]) for k in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    m = np.array([v for _, v, _ in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    near = (m @ m.T >= 0.98) & (np.arange(900)[:, None] % 2 == np.arange(900)[None, :] % 2)
+    label = np.arange(900)
+    while (label != (new := np.array([label[n].min() for n in near]))).any():
+        label = new
+    want = {k: (int(near[k].sum()) - 1, int(label[k])) for k in range(900)}
+    for small, few in ((False, 8), (True, 1)):
+        report = {}
+        if small:
+            for name, x in {"TABLES": 1, "MOST_TABLES": 1, "ROUNDS": 0, "SMALL": 64}.items():
+                monkeypatch.setattr(nn_descent, name, x)
+            monkeypatch.setattr(nn_descent.seeds, "__defaults__", (1, 8))
+            monkeypatch.setattr(nn_descent.compare, "__defaults__", (64, 128))
+        got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_vectors(df, report=report).collect()}
+        assert got == want
+        assert report["completed"] is small and report["tables"] == few and (report["recall"] < 0.97) is small
+
+
+def test_audit_without_links(spark):
+    df = spark.createDataFrame([(k, np.eye(8)[k].tolist(), 1) for k in range(8)], "vec_id long, embedding array<double>, label int")
+    report = {}
+    assert {(r.n_links, r.kept) for r in nn_descent.near_vectors(df, report=report).collect()} == {(0, True)} and report["recall"] is None
