@@ -152,18 +152,89 @@ def test_licenses(docs, rows, empty):
     assert set(got) == {"MIT"} and got["MIT"].doc_id == 12 and got["MIT"].n_matches == 2 and got["MIT"].coverage == 1.0 and (got["MIT"].first_word, got["MIT"].last_word) == (0, 4)
     assert licenses.scan(empty).count() == 0
     text = licenses.words("so it is licensed today under the apache license which is version 2 of it")
-    pairs = licenses.align(text, licenses.words(licenses.NOTICES["Apache-2.0"]))
+    pairs = licenses.align(text, licenses.words(licenses.TEXTS["Apache-2.0"][0]))
     assert [text[i] for i, _ in pairs] == ["licensed", "under", "the", "apache", "license", "version", "2"]
     assert all(b > a for (a, _), (b, _) in zip(pairs, pairs[1:], strict=False))
 
 
+def told(text, least=0.8):
+    sought = [(name, licenses.notice(x, least)) for name, texts in licenses.notices().items() for x in texts]
+    return licenses.licenses_of(licenses.words(text), sought, least)
+
+
+def test_licenses_are_told_apart():
+    """Texts of sibling licenses, and texts that only look like a notice."""
+    cases = {
+        "Released under the BSD License.": {"BSD"}, "Released under the Apache License.": set(), "It was released under the new license.": set(), "Licensed under CC BY 4.0.": {"CC-BY-4.0"},
+        "This work is licensed under the GNU General Public License, version 2.": {"GPL-2.0"}, "This work is licensed under the GNU Lesser General Public License, version 3.": {"LGPL-3.0"},
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": {"CC-BY-NC-4.0"},
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": {"CC-BY-SA-4.0"},
+        "This work is licensed under a Creative Commons Attribution 3.0 Unported License.": {"CC-BY-3.0"}, "Released under the BSD 3-Clause License, see below.": {"BSD-3-Clause"},
+        "Released under the MIT No Attribution License": {"MIT-0"}, "Released under the terms of the MIT License": {"MIT"}, "Licensed under the Apache License, Version 1.1": set(),
+        "Licensed under CC BY-NC-SA 4.0.": {"CC-BY-NC-SA-4.0"}, "released the mit students under license": set(),
+    }
+    assert {t: set(told(t)) for t in cases} == cases
+    for name, texts in licenses.notices().items():
+        for x in texts:
+            found = told("so it says here " + x + " and more of that")
+            assert set(found) == {name}, (name, x, found)
+            assert len(found[name]) == 1 and found[name][0].coverage == 1.0 and found[name][0].first == 4
+
+
+def brute_finds(text, n, least):
+    """Every stretch that starts with its find, judged; then the best of those that overlap, one by one."""
+    need = licenses.needed(len(n.words), least)
+    every = [f for s in range(len(text)) if (f := licenses.judge(text, s, n, need))]
+    kept = []
+    for f in sorted(every, key=lambda f: (-f.score, f.first)):
+        if all(f.last < g.first or g.last < f.first for g in kept):
+            kept.append(f)
+    return sorted(kept, key=lambda f: f.first)
+
+
+def test_licenses_brute_force():
+    """Random texts of a notice's words, others and pieces of notices: what is skipped unseen holds no find."""
+    rnd = np.random.default_rng(8)
+    every = [licenses.notice(x, 0.8) for texts in licenses.notices().values() for x in texts]
+    hits = 0
+    for k in range(400):
+        n = every[k % len(every)]
+        text = []
+        for _ in range(rnd.integers(1, 5)):
+            part = [w for w in n.words if rnd.random() > (0.0, 0.05, 0.3)[rnd.integers(3)]]
+            for _ in range(rnd.integers(0, 3)):
+                part.insert(int(rnd.integers(len(part) + 1)), str(rnd.choice(["the", "x", *n.words])))
+            text += [*part, *rnd.choice(["a", "of", *n.words], rnd.integers(0, 4)).tolist()]
+        got = licenses.find(text, n, 0.8)
+        assert got == brute_finds(text, n, 0.8), (n.words, text)
+        hits += len(got)
+    assert hits > 200
+
+
+def test_alignment_by_hand():
+    """Pairs are equal words in order; words unique to both that lie in order are all aligned; without any it is a longest common subsequence."""
+    rnd = np.random.default_rng(9)
+    for _ in range(300):
+        a, b = (rnd.choice(list("abcdefghij"), rnd.integers(0, 12)).tolist() for _ in range(2))
+        pairs = licenses.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(x < y and u < v for (x, u), (y, v) in zip(pairs, pairs[1:], strict=False))
+        longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in np.ndindex(len(a), len(b)):
+            longest[i + 1][j + 1] = longest[i][j] + 1 if a[i] == b[j] else max(longest[i][j + 1], longest[i + 1][j])
+        unique = [w for w in a if a.count(w) == b.count(w) == 1]
+        assert len(pairs) <= longest[-1][-1]
+        if not unique:
+            assert len(pairs) == longest[-1][-1]
+        if [w for w in b if w in unique] == unique:
+            assert {w for w in unique} <= {a[i] for i, _ in pairs}
+
+
 def test_license_windows():
     """A notice after very many of its own words is found whole; a text of those words alone has none."""
-    notice = licenses.words(licenses.NOTICES["MIT grant"])
-    probes = licenses.rarer(notice, 0.8)
+    n = licenses.notice(licenses.GRANT, 0.8)
     noise = ["software"] * 100_000
-    assert licenses.find(noise + notice + noise, notice, probes, 0.8) == [(100_000, 100_000 + len(notice) - 1, 1.0)]
-    assert licenses.find(noise, notice, probes, 0.8) == []
+    assert [f[1:] for f in licenses.find(noise + n.words + noise, n, 0.8)] == [(100_000, 100_000 + len(n.words) - 1, 1.0)]
+    assert licenses.find(noise, n, 0.8) == []
 
 
 def test_license_at_least_coverage(spark):
@@ -173,22 +244,21 @@ def test_license_at_least_coverage(spark):
     got = [tuple(r) for r in licenses.scan(df).collect() if r.license == "MIT"]
     assert sorted(got) == [(0, "MIT", 0.8, 1, 1, 4), (1, "MIT", 0.8, 1, 3, 6)]
     for n in range(1, 101):
-        notice = [f"w{k:03}" for k in range(n)]
+        words = [f"w{k:03}" for k in range(n)]
         for percent in (55, 70, 80, 100):
             spare = n * (100 - percent) // 100
-            assert len(licenses.rarer(notice, percent / 100)) == spare + 1, (n, percent)
-            found = licenses.find(notice[spare:], notice, licenses.rarer(notice, percent / 100), percent / 100)
-            assert [x[2] for x in found] == [(n - spare) / n], (n, percent)
+            known = licenses.notice(" ".join(words), percent / 100)
+            assert len(known.probes) == spare + 1, (n, percent)
+            assert [x.coverage for x in licenses.find(words[spare:], known, percent / 100)] == [(n - spare) / n], (n, percent)
 
 
 def test_license_with_words_put_in():
     """Words of a notice in order over less than twice its width, with the probes at either end."""
-    notice = licenses.words(licenses.NOTICES["MIT"])
+    n = licenses.notice("Released under the MIT License.", 0.8)
     for text in ("Released under the terms of the MIT License", "x y Released now under just the very MIT License z"):
         w = licenses.words(text)
-        start = w.index("released")
-        for probes in (licenses.rarer(notice, 0.8), ["released"], ["license"]):
-            assert licenses.find(w, notice, probes, 0.8) == [(start, w.index("license"), 1.0)]
+        for must, probes in ((n.must, n.probes), (frozenset(), frozenset(["released"])), (frozenset(), frozenset(["license"]))):
+            assert [f[1:] for f in licenses.find(w, n._replace(must=must, probes=probes), 0.8)] == [(w.index("released"), w.index("license"), 1.0)]
 
 
 def brute_katz(rows, order):
