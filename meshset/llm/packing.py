@@ -39,11 +39,11 @@ def plan(counts: dict[int, int], capacity: int) -> list[Pattern]:
         out.append((int(free[capacity]), [(capacity, 1)]))
         free[capacity] = 0
     for length in range(capacity - 1, 0, -1):
-        pairs = None
+        sums = None
         while free[length]:
-            if pairs is None:
-                pairs = _pair_sums(free)
-            found = _complement(free, length, capacity - length, pairs)
+            if sums is None:
+                sums = _sums(free)
+            found = _complement(free, length, capacity - length, *sums)
             if found is None:
                 break
             n = min(int(free[x]) // k for x, k in found)
@@ -53,14 +53,24 @@ def plan(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return out + _best_fit(free, capacity)
 
 
-def _pair_sums(free: np.ndarray) -> np.ndarray:
-    """Which sums two available lengths have; counts only fall, so a later look may need checking but misses nothing."""
-    there = (free > 0).astype(np.float64)
-    there[0] = 0
-    return np.convolve(there, there)[: len(free)] > 0.5
+def _sums(free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which sums two and three available lengths have; counts only fall, so a later look may need checking but misses nothing.
 
-
-def _complement(free: np.ndarray, length: int, gap: int, pairs: np.ndarray) -> list[tuple[int, int]] | None:
+    A set of lengths is a number's bits, so all sums with one more length are a shift.
+    """
+    size = len(free)
+    lengths = np.flatnonzero(free[1:] > 0) + 1
+    one = sum(1 << int(x) for x in lengths)
+    two = three = 0
+    for x in lengths.tolist():
+        two |= one << x
+    for x in lengths.tolist():
+        three |= two << x
+    spread = lambda bits: np.unpackbits(np.frombuffer((bits & (1 << size) - 1).to_bytes(size // 8 + 1, "little"), np.uint8), bitorder="little")[:size] > 0
+    return spread(two), spread(three)
+
+
+def _complement(free: np.ndarray, length: int, gap: int, pairs: np.ndarray, triples: np.ndarray) -> list[tuple[int, int]] | None:
     """Length and one to three others that fill a sequence, as (length, multiplicity), largest count of uses first."""
     left = free.copy()
     left[length] -= 1
@@ -68,6 +78,8 @@ def _complement(free: np.ndarray, length: int, gap: int, pairs: np.ndarray) -> l
         return _multiset(length, gap)
     if pairs[gap] and (p := _pair(left, gap)):
         return _multiset(length, *p)
+    if not triples[gap]:
+        return None
     thirds = np.flatnonzero((left[1 : gap - 1] > 0) & pairs[gap - 1 : 1 : -1]) + 1
     for c in thirds[np.argsort(-left[thirds], kind="stable")]:
         left[c] -= 1

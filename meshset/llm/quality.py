@@ -140,7 +140,9 @@ def part(id_col: F.Column | str) -> F.Column:
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows_per_class: int = ROWS_PER_CLASS) -> list[tuple[list[bytes], int]]:
     """Chunks and labels of at most ``rows_per_class`` ids of each label, none of them held out, those with the smallest hashes.
 
-    An id that several rows have teaches once, however often it is repeated.
+    An id that several rows have teaches once, however often it is repeated; with
+    conflicting labels it has label 1.  Null ids and labels other than 0 and 1
+    teach nothing; a null text is empty.
     """
     known = labels.select(F.col(id_col).cast("long").alias("l_id"), F.col(label_col).cast("int").alias("y"))
     known = known.where((part("l_id") != 1) & F.col("y").isin(0, 1)).groupBy("l_id").agg(F.max("y").alias("y"))
@@ -188,7 +190,12 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``least``, with all their columns; texts stay where they are scored."""
+    """The rows of ``docs`` with a score of at least ``least``, with all their columns; texts stay where they are scored.
+
+    Null texts are scored as empty ones, so all of them stay or none; null ids
+    make no difference; repeated rows stay or go together; columns keep their
+    names, whatever those are.  Empty in, empty out.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
     names = docs.columns
     at = names.index(text_col)

@@ -351,6 +351,68 @@ def test_quality(spark, docs, rows, empty):
     assert len(whole) >= len(long) // quality.CHUNK
 
 
+def small_model(rng):
+    return quality.Model(
+        rng.normal(0, 0.5, (256, quality.EMBED)), rng.normal(0, 0.4, (quality.WIDTH * quality.EMBED, quality.FILTERS)), rng.normal(0, 0.1, quality.FILTERS),
+        rng.normal(0, 0.05, 3 * quality.FILTERS), rng.normal(0, 0.1, 1),
+    )
+
+
+def naive_chunk(m, data):
+    """Each filter at each place of one chunk, by plain loops, then its largest response."""
+    data = data + bytes(max(0, quality.WIDTH - len(data)))
+    windows = [np.concatenate([m.embed[b] for b in data[k : k + quality.WIDTH]]) for k in range(len(data) - quality.WIDTH + 1)]
+    return [max(0.0, max(float(sum(w * f)) for w in windows) + float(b)) for f, b in zip(m.filters.T, m.bias, strict=True)]
+
+
+def test_quality_forward_pass():
+    """Scores equal those of plain loops over chunks that overlap by one step and cover every byte."""
+    rng = np.random.default_rng(3)
+    m = small_model(rng)
+    step, span = quality.STEP, quality.SPAN
+    for n in (0, 1, 6, 7, 8, 100, 517, 518, 519, 1100):
+        text = "".join(rng.choice(list("ab cé!Z"), n))
+        data = text.encode()
+        steps = -(-max(1, len(data) - quality.WIDTH + 1) // step)
+        chunks = [data[k * step : min((k + span) * step, steps * step) + quality.WIDTH - 1] for k in range(0, max(1, steps - 1), span - 1)]
+        h = np.array([naive_chunk(m, c) for c in chunks])
+        z = float(np.concatenate([h.mean(axis=0), h.max(axis=0), h.min(axis=0)]) @ m.out + m.base[0])
+        assert math.isclose(quality.score(m, text), 1 / (1 + math.exp(-z)), rel_tol=1e-6), n
+        assert set(range(len(data))) <= {i for k in range(0, max(1, steps - 1), span - 1) for i in range(k * step, (k + span) * step + quality.WIDTH - 1)}
+
+
+def test_quality_gradients():
+    """The gradient equals the slope of the loss, at places of every kind of parameter."""
+    rng = np.random.default_rng(6)
+    m = small_model(rng)
+    size = quality.CHUNK + quality.WIDTH - 1
+    lengths = [size, 300, size, 40, 7]
+    x = np.zeros((5, size), np.uint8)
+    for row, n in zip(x, lengths, strict=True):
+        row[:n] = rng.integers(97, 105, n)
+    live, owner, y = np.array(lengths) - quality.WIDTH + 1, np.array([0, 0, 1, 2, 2]), np.array([1.0, 0.0, 1.0])
+
+    def loss(m):
+        total = 0.5e-4 * ((m.filters**2).sum() + (m.out**2).sum())
+        for d, label in enumerate(y):
+            h = np.array([quality.responses(m, x[k, : lengths[k]])[0] if lengths[k] < size else quality.responses(m, x[k])[0] for k in np.flatnonzero(owner == d)])
+            p = 1 / (1 + math.exp(-float(quality.combine(h) @ m.out + m.base[0])))
+            total -= math.log(p if label else 1 - p) / len(y)
+        return total
+
+    grads = quality._gradients(m, x, live, owner, y)
+    for which, g in enumerate(grads):
+        flat = np.abs(g).ravel()
+        for at in np.argsort(-flat)[:4]:
+            place = np.unravel_index(at, g.shape)
+            moved = []
+            for e in (1e-5, -1e-5):
+                p = m[which].copy()
+                p[place] += e
+                moved.append(loss(m._replace(**{m._fields[which]: p})))
+            assert math.isclose((moved[0] - moved[1]) / 2e-5, g[place], rel_tol=2e-3, abs_tol=1e-6), (m._fields[which], place)
+
+
 def test_pipeline(spark, docs, tmp_path):
     assert [len(x) for x in corpus_pipeline.STAGES] == [2] * 4 and corpus_pipeline.ORACLE_SQL is None
     for name, stage in corpus_pipeline.STAGES[1:3]:

@@ -158,6 +158,36 @@ def test_plan(counts):
         for length, k in items:
             used[length] += n * k
     assert used == counts
+    # first-fit or best-fit decreasing is within 11/9 of the best and two thirds; the best is no less than these
+    halves = sum(n for k, n in counts.items() if k > 25)
     total = sum(k * n for k, n in counts.items())
-    assert sum(n for n, _ in patterns) <= max(1, -(-2 * total // 50))
+    assert sum(n for n, _ in patterns) <= max(halves, -(-total // 50)) * 11 / 9 + 1.5
     packing.places(patterns, counts)
+
+
+def best_packing(items, capacity):
+    """The least number of sequences, by trying every way."""
+
+    def fits(rest, bins):
+        if not rest:
+            return True
+        for k, b in enumerate(bins):
+            if b >= rest[0] and b not in bins[:k] and fits(rest[1:], [*bins[:k], b - rest[0], *bins[k + 1 :]]):
+                return True
+        return False
+
+    return next(n for n in range(len(items) + 1) if fits(sorted(items, reverse=True), [capacity] * n))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=8))
+def test_plan_of_few(items):
+    used = sum(n for n, _ in packing.plan(dict(Counter(items)), 20))
+    best = best_packing(items, 20)
+    assert best <= used <= best * 11 / 9 + 1
+
+
+def test_plan_fills_exactly():
+    """Gaps that one, two or three others fill exactly are filled."""
+    for counts, n in (({30: 4, 20: 4}, 4), ({29: 3, 13: 3, 8: 3}, 3), ({23: 2, 14: 2, 9: 2, 4: 2}, 2), ({50: 2, 25: 4, 10: 5}, 5)):
+        assert sum(k for k, _ in packing.plan(counts, 50)) == n
