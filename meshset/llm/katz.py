@@ -185,6 +185,21 @@ def tokenise(df: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, BATCHES)
 
 
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, none below 0, in order, and each item's rank among them: one sort of keys with their places where 63 bits hold both."""
+    bits = max(1, len(keys) - 1).bit_length()
+    if len(keys) < 2 or int(keys.max()).bit_length() + bits > 63:
+        return np.unique(keys, return_inverse=True)
+    both = np.sort(keys << bits | np.arange(len(keys)))
+    sorted_keys = both >> bits
+    new = np.empty(len(keys), bool)
+    new[0] = True
+    np.not_equal(sorted_keys[1:], sorted_keys[:-1], out=new[1:])
+    rank = np.empty(len(keys), np.int64)
+    rank[both & ((1 << bits) - 1)] = np.cumsum(new) - 1
+    return sorted_keys[new], rank
+
+
 def _dealt(shard: np.ndarray, order: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(shard, positions) in the order given, which is sorted by shard."""
     s = shard[order]
@@ -294,7 +309,7 @@ class Local:
         before = self.at[k - 1][there - 1]
         if k == 2:
             before = np.where(self.offset > 0, before, 0)
-        kinds, inverse = np.unique(before * len(self.ids) + self.at[1][there], return_inverse=True)
+        kinds, inverse = ranked(before * len(self.ids) + self.at[1][there])
         self.at[k] = np.full(len(self.offset), -1, np.int64)
         self.at[k][there] = inverse
         self.hist[k], self.word[k] = kinds // len(self.ids), kinds % len(self.ids)
@@ -311,7 +326,7 @@ class Local:
         """(shard, grams of order k that it owns, in order)."""
         h = self.hashes[k - 1][self.hist[k]]
         shard = _owner(np.where(self.hot(k)[self.hist[k]], self.hashes[k], h), self.shards)
-        return _dealt(shard, np.argsort(shard, kind="stable"))
+        return _dealt(shard, np.argsort(shard.astype("<u2") if self.shards < 1 << 16 else shard, kind="stable"))  # short integers take a radix sort
 
     def histories(self, k: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in p, which is sorted by them, each history's grams start, and those histories."""
@@ -345,16 +360,16 @@ class Local:
                     self.heads[k][x], self.seen[k][x] = self.model.levels[k].hot[name]
                     self.none[k][x] = not self.heads[k][x].any()
 
-    def probabilities(self, order: int) -> np.ndarray:
-        """The probability of each gram of an order, from its history's counts or else from the order below."""
+    def probabilities(self, order: int, lower: np.ndarray) -> np.ndarray:
+        """The probability of each gram of an order, from its history's counts or else from those of the order below."""
         if order == 1:
             return self.model.words.p(self.counts[1])
-        lower, d = self.probabilities(order - 1)[self.suffix[order]], self.model.levels[order].discounts
-        h = self.hist[order]
-        size, none, r = self.counts[order - 1][h], self.none[order][h], self.counts[order]
-        freed = np.where(none, 1.0, self.heads[order][h] @ d.freed) / np.maximum(1, size + none)
-        weight = freed / np.maximum(1 - self.seen[order][h], 1e-300)
-        return np.where(size == 0, lower, np.where(r > 0, d.of(r) * r / np.maximum(1, size + none), weight * lower))
+        lower, d = lower[self.suffix[order]], self.model.levels[order].discounts
+        h, r = self.hist[order], self.counts[order]
+        sizes, none = self.counts[order - 1], self.none[order]
+        freed = np.where(none, 1.0, self.heads[order] @ d.freed) / np.maximum(1, sizes + none)
+        weight = np.where(sizes > 0, freed / np.maximum(1 - self.seen[order], 1e-300), 1.0)
+        return np.where(r > 0, d.of(r) * r / np.maximum(1, sizes + none)[h], weight[h] * lower)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -367,11 +382,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _dense(*columns: np.ndarray) -> tuple[int, np.ndarray]:
     """How many distinct rows the columns have, and each row's rank among them."""
-    rank, n = np.zeros(len(columns[0]), np.int64), 1
+    n, rank = 1, np.zeros(len(columns[0]), np.int64)
     for c in columns:
-        kinds, c = np.unique(c, return_inverse=True) if len(c) and int(c.max()) >= 1 << 31 else (None, c.astype(np.int64))
-        both = rank * ((len(kinds) if kinds is not None else int(c.max(initial=0))) + 1) + c
-        got, rank = np.unique(both, return_inverse=True)
+        size = int(c.max(initial=0)) + 1
+        if (n * size).bit_length() + len(c).bit_length() > 63:
+            kinds, c = ranked(c)
+            size = len(kinds)
+        got, rank = ranked(rank * size + c)
         n = len(got)
     return n, rank
 
@@ -425,7 +442,7 @@ def _shard(t: pa.Table, shard: int, k: int, model: Model, wide: str) -> Iterator
     columns = [np.concatenate([risen(x[0]) for x in names]), *(np.concatenate([expand(x[c], wide) for x in names]).astype(np.int64) for c in range(1, k - 1))]
     sizes = read("sizes", "<u4")
     owners, owner = _dense(*columns)  # of each history that a batch sent
-    grams, at = _dense(np.repeat(owner, np.concatenate(sizes)), np.concatenate(read("words", wide)))
+    grams, at = _dense(np.repeat(owner, np.concatenate(sizes)), np.concatenate(read("words", wide)).astype(np.int64))
     total = np.bincount(at, weights=np.concatenate(read("counts", "<u4")), minlength=grams).astype(np.int64)
     of, lower = np.empty(grams, np.int64), np.empty(grams, np.int64)
     of[at] = np.repeat(owner, np.concatenate(sizes))
@@ -482,10 +499,11 @@ def scores(state: DataFrame, order: int, shards: int, model: Model) -> DataFrame
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(rows):
             b, words = _local(r, order, model, shards, order), model.words
-            logs = np.zeros(len(b.offset))
+            logs, p = np.zeros(len(b.offset)), np.zeros(0)
             for k in range(1, order + 1):  # token i has the order i + 2 at most, for it follows i words and the begin
-                here = b.offset == k - 2 if k < order else b.offset >= k - 2
-                logs[here] = np.log10(b.probabilities(k)[b.at[k][here]]) if here.any() else 0.0
+                p = b.probabilities(k, p)
+                here = np.flatnonzero(b.offset == k - 2 if k < order else b.offset >= k - 2)
+                logs[here] = np.log10(p)[b.at[k][here]]
             base = np.log10((b.counts[1] + 0.1) / (words.total + 0.1 * (words.kinds + 1)))
             add = lambda x: np.add.reduceat(x, b.starts)  # noqa: B023, E731
             tokens = b.at[1]
