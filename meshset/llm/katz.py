@@ -40,27 +40,30 @@ K = 5
 ORDER = 3
 HOT = 1e-3
 BATCH_TOKENS = 1_000_000
-SHARD_TOKENS = 3_000_000
+SHARD_TOKENS = 1_500_000
 #: The end token's hash; words have others.  The id of the begin is 0, words have ids from 1.
 END = 1
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    """An array as bytes: one plane per byte of the items, compressed."""
+    """An array as bytes: integers, none below 0, as narrow as they fit, then one plane per byte of the items, compressed."""
     x = np.ascontiguousarray(x)
-    return zstandard.compress(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes() if len(x) else b"", 1)
+    if x.dtype.kind in "iu" and x.itemsize > 1:
+        x = x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T if len(x) else x[:0].view(np.uint8)
+    return bytes([x.itemsize]) + zstandard.compress(planes.tobytes(), 1)
 
 
 def expand(data: bytes, dtype: str) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(dtype).ravel()
+    size, raw = data[0], np.frombuffer(zstandard.decompress(data[1:]), np.uint8)
+    kind = dtype if np.dtype(dtype).kind not in "iu" else f"<u{size}"
+    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel().astype(dtype, copy=False)
 
 
 def rising(x: np.ndarray) -> bytes:
     """An array that never falls, as its steps."""
-    return squeeze(np.diff(x, prepend=0).astype("<u8"))
+    return squeeze(np.diff(x, prepend=0))
 
 
 def risen(data: bytes) -> np.ndarray:
@@ -457,7 +460,7 @@ def _shard(t: pa.Table, shard: int, k: int, model: Model, wide: str) -> Iterator
         p = model.words.p(lower[got])
     else:
         p = model.levels[k - 1].discounts.of(lower[got]) * lower[got] / ((base >> 1) + (base & 1))[of]
-    mass = np.bincount(of, weights=p, minlength=owners)
+    mass = np.bincount(of, weights=p, minlength=owners).astype(float)  # of no items it would count in integers
     known = np.bincount(of, minlength=owners) > 0
     none, hot = ~heads.any(axis=1), np.concatenate(read("hot", "?"))
     blank: dict[str, list] = {x.split()[0]: [None] for x in ANSWERS.split(", ")}
