@@ -14,10 +14,10 @@ from meshset.functions import timespec
 from meshset.functions.context import Context
 from meshset.functions.registry import RangeFunction, builtin
 from meshset.model import CLUSTER, ENVIRONMENT, HOST, STRING, Snapshot, Topology
-from meshset.operators import traverse
+from meshset.operators import lookups, traverse
 from meshset.operators.names import prefixed, unprefix
 from meshset.plans import syntax
-from meshset.plans.planner import Planner
+from meshset.plans.planner import Bag, Planner
 from meshset.sources.store import ARITY, Store
 
 
@@ -38,16 +38,21 @@ class Engine:
 
     # expressions
 
-    def plan(self, expression: str, env: str = "", version: int | None = None) -> DataFrame:
-        """The bag of an expression, as column ``value``, without the environment's prefix."""
+    def _bag(self, expression: str, env: str, version: int | None) -> Bag:
         tree = syntax.parse(expression, frozenset(self.functions), self.strict_escapes)
         t = self.topology
         ctx = Context(t.as_of(version), t.as_of(version, "dependency"), env)
-        df = Planner(ctx, self.functions, self.strict).plan(tree).df
-        return df.select(unprefix(F.col("value"), env).alias("value"))
+        return Planner(ctx, self.functions, self.strict).plan(tree)
+
+    def plan(self, expression: str, env: str = "", version: int | None = None) -> DataFrame:
+        """The bag of an expression, as column ``value``, without the environment's prefix."""
+        return self._bag(expression, env, version).df.select(unprefix(F.col("value"), env).alias("value"))
 
     def expand_range_expression(self, env: str, expression: str, version: int | None = None) -> list[str]:
-        return [r[0] for r in self.plan(expression, env, version).collect()]
+        """The values of an expression: what graph and set operators give is sorted, lists and sequences keep their order."""
+        bag = self._bag(expression, env, version)
+        df = bag.df.select(unprefix(F.col("value"), env).alias("value"))
+        return [r[0] for r in (df if bag.ordered else df.orderBy("value")).collect()]
 
     # lookups
 
@@ -66,12 +71,16 @@ class Engine:
             return name, kind
         raise errors.NodeNotFound(prefixed(env, node))
 
+    def _one(self, name: str, version: int | None) -> tuple[Snapshot, DataFrame]:
+        snap = self.snapshot(version)
+        return snap, snap.spark.createDataFrame([(name,)], "node string")
+
     def simple_expand(self, env: str, node: str, version: int | None = None, *types: str) -> list[str]:
         name, kind = self._node(env, node, version, *types)
         if kind == HOST:
             return []
-        rows = self.snapshot(version).edges.where(F.col("src") == name).orderBy("fwd_ord")
-        return [r[0] for r in rows.select(unprefix(F.col("dst"), env)).collect()]
+        rows = lookups.children(*self._one(name, version)).orderBy("ord")
+        return [r[0] for r in rows.select(unprefix(F.col("child"), env)).collect()]
 
     def simple_expand_cluster(self, env: str, cluster: str, version: int | None = None) -> list[str]:
         return self.simple_expand(env, cluster, version, CLUSTER)
@@ -81,31 +90,26 @@ class Engine:
 
     def get_clusters(self, env: str, node: str, version: int | None = None) -> list[str]:
         name, _ = self._node(env, node, version)
-        rows = self.snapshot(version).edges.where(F.col("dst") == name).orderBy("rev_ord")
-        return [r[0] for r in rows.select(unprefix(F.col("src"), env)).collect()]
+        rows = lookups.parents(*self._one(name, version)).orderBy("ord")
+        return [r[0] for r in rows.select(unprefix(F.col("parent"), env)).collect()]
 
     def all_clusters(self, env: str, version: int | None = None) -> list[str]:
         name, _ = self._node(env, "", version, ENVIRONMENT)
         snap = self.snapshot(version)
         root = snap.spark.createDataFrame([(name, name)], "root string, node string")
-        return [r[0] for r in traverse.all_clusters(root, snap).select(unprefix(F.col("node"), env)).collect()]
+        return [r[0] for r in traverse.all_clusters(root, snap).orderBy("node").select(unprefix(F.col("node"), env)).collect()]
 
     def all_environments(self, version: int | None = None) -> list[str]:
-        return [r[0] for r in self.snapshot(version).of_type(ENVIRONMENT).collect()]
+        return [r[0] for r in self.snapshot(version).of_type(ENVIRONMENT).orderBy("value").collect()]
 
     def all_hosts(self, version: int | None = None) -> list[str]:
-        return [r[0] for r in self.snapshot(version).of_type(HOST).collect()]
+        return [r[0] for r in self.snapshot(version).of_type(HOST).orderBy("value").collect()]
 
     # tags
 
     def fetch_all_keys(self, env: str, node: str, version: int | None = None) -> dict[str, list[str]]:
         name, _ = self._node(env, node, version)
-        out: dict[str, list[str]] = {}
-        for r in self.snapshot(version).tags.where(F.col("node") == name).orderBy("val_ord").collect():
-            values = out.setdefault(r.key, [])
-            if r.value is not None:
-                values.append(r.value)
-        return out
+        return {r.key: list(r["values"]) for r in lookups.tag_lists(*self._one(name, version)).orderBy("key").collect()}
 
     def get_keys(self, env: str, node: str, version: int | None = None) -> list[str]:
         return list(self.fetch_all_keys(env, node, version))
@@ -118,17 +122,17 @@ class Engine:
 
     # trees and ancestors
 
-    def expand(self, env: str, node: str, version: int | None = None, depth: int = 1000, *types: str) -> dict:
+    def expand(self, env: str, node: str, version: int | None = None, depth: int | None = None, *types: str) -> dict:
         name, _ = self._node(env, node, version, *types)
         snap = self.snapshot(version)
         root = snap.spark.createDataFrame([(name, name)], "root string, node string")
         rows = traverse.tree_json(root, snap, self.snapshot(version, "dependency").edges, unprefix(F.col("node"), env), depth)
         return json.loads(rows.first()["json"])
 
-    def expand_cluster(self, env: str, cluster: str, version: int | None = None, depth: int = 1000) -> dict:
+    def expand_cluster(self, env: str, cluster: str, version: int | None = None, depth: int | None = None) -> dict:
         return self.expand(env, cluster, version, depth, CLUSTER)
 
-    def expand_env(self, env: str, version: int | None = None, depth: int = 1000) -> dict:
+    def expand_env(self, env: str, version: int | None = None, depth: int | None = None) -> dict:
         return self.expand(env, "", version, depth, ENVIRONMENT)
 
     def _first_key(self, search: Callable, env: str, node: str, key: str, version: int | None) -> tuple[str, list[str]]:
@@ -138,7 +142,7 @@ class Engine:
         found = search(root, snap, key).first()
         if found is None:
             return "", []
-        rows = snap.tags.where((F.col("node") == found.node) & (F.col("key") == key) & F.col("value").isNotNull()).orderBy("val_ord")
+        rows = lookups.values(snap, snap.spark.createDataFrame([(found.node,)], "node string"), key).orderBy("ord")
         return found.node.removeprefix(f"{env}#"), [r.value for r in rows.collect()]
 
     def bfs_search_parents_for_first_key(self, env: str, node: str, key: str, version: int | None = None) -> tuple[str, list[str]]:
@@ -162,8 +166,25 @@ class Engine:
         levels = traverse.topological_levels(below, inner)
         return [r[0] for r in levels.orderBy("level", "node").select(unprefix(F.col("node"), env)).collect()]
 
-    def find_orphaned_nodes(self, version: int | None = None) -> list[tuple[str, str]]:
-        return [tuple(r) for r in traverse.orphans(self.snapshot(version)).collect()]
+    def dependencies(self, env: str, node: str, version: int | None = None) -> list[str]:
+        """What a node depends on, in order."""
+        name, _ = self._node(env, node, version)
+        snap = self.snapshot(version, "dependency")
+        rows = lookups.children(snap, snap.spark.createDataFrame([(name,)], "node string")).orderBy("ord")
+        return [r[0] for r in rows.select(unprefix(F.col("child"), env)).collect()]
+
+    def find_orphaned_nodes(self, version: int | None = None, types: tuple[str, ...] = (), env: str = "") -> list[tuple[str, str]]:
+        """(type, name) of what no environment reaches, of some types, or named after an environment."""
+        rows = traverse.orphans(self.snapshot(version))
+        if types:
+            rows = rows.where(F.col("type").isin(*types))
+        if env:
+            rows = rows.where(F.startswith(F.col("name"), F.lit(env + "#")))
+        return [tuple(r) for r in rows.orderBy("type", "name").collect()]
+
+    def counts(self, version: int | None = None, graph: str = "primary") -> dict[str, int]:
+        """How many nodes of each type and how many edges a graph has."""
+        return dict(self.snapshot(version, graph).counts().collect())
 
     # versions
 
@@ -171,8 +192,7 @@ class Engine:
         return self.store.range_version()
 
     def get_range_version(self, spec: str, now: datetime | None = None) -> int | None:
-        at = timespec.parse(spec, now)
-        return self.store.log().where(F.col("ts") < F.lit(at)).agg(F.max("version")).first()[0]
+        return version_before(self.store.log(), timespec.parse(spec, now)).first()[0]
 
     def get_changelist(self) -> DataFrame:
         """(version, ts, graphs): which graphs each write changed, and to which of their own versions."""
@@ -191,6 +211,11 @@ class Engine:
         raise AttributeError(name)
 
 
+def version_before(log: DataFrame, at: datetime) -> DataFrame:
+    """One row, version: the last one that was written before a time; null if none was."""
+    return log.where(F.col("ts") < F.lit(at)).agg(F.max("version").alias("version"))
+
+
 def changelist(log: DataFrame, events: DataFrame) -> DataFrame:
     """A graph's version is that of the last write that changed it."""
     touched = events.select("version", "graph").distinct()

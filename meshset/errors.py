@@ -47,3 +47,7 @@ class IncorrectNodeType(MeshError):
 
 class GraphCycle(MeshError):
     pass
+
+
+class CorruptLog(MeshError):
+    pass

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meshset.functions.context import Context
 from meshset.model import CLUSTER, ENVIRONMENT
-from meshset.operators import traverse
+from meshset.operators import sets, traverse
 from meshset.operators.names import resolve, unprefix
 
 
@@ -29,7 +29,7 @@ def _roots(ctx: Context, bag: DataFrame) -> DataFrame:
 
 def _expand(ctx: Context, bags: list[DataFrame]) -> DataFrame:
     """JSON text of the tree below each node; unknown nodes are skipped."""
-    shown = F.expr(f"case when startswith(node, '{ctx.env}#') then substring(node, {len(ctx.env) + 2}) else node end") if ctx.env else F.col("node")
+    shown = unprefix(F.col("node"), ctx.env)
     tree = traverse.tree_json(_roots(ctx, bags[0]), ctx.snapshot, ctx.dependency.edges, shown)
     return bags[0].join(tree, F.col("value") == F.col("root")).select(F.col("json").alias("value"))
 
@@ -37,7 +37,7 @@ def _expand(ctx: Context, bags: list[DataFrame]) -> DataFrame:
 def _expand_hosts(ctx: Context, bags: list[DataFrame]) -> DataFrame:
     """Hosts below each node, once for each path to them."""
     found = bags[0].join(traverse.hosts_by_paths(_roots(ctx, bags[0]), ctx.snapshot), F.col("value") == F.col("root"))
-    return found.select(F.explode(F.expr("array_repeat(node, cast(times as int))")).alias("value"))
+    return sets.repeated(found.select(F.col("node").alias("value"), "times"))
 
 
 def _clusters(ctx: Context, bags: list[DataFrame]) -> DataFrame:

@@ -6,9 +6,11 @@ state after v writes, so version 0 is empty.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ENVIRONMENT, CLUSTER, HOST, STRING = "ENVIRONMENT", "CLUSTER", "HOST", "STRING"
@@ -16,7 +18,7 @@ LATEST = (1 << 63) - 1
 NODES = "graph string, name string, type string, valid_from bigint, valid_to bigint"
 EDGES = "graph string, src string, dst string, fwd_ord bigint, rev_ord bigint, valid_from bigint, valid_to bigint"
 TAGS = "graph string, node string, key string, val_ord bigint, value string, valid_from bigint, valid_to bigint"
-CHANGELOG = "version bigint, ts timestamp, method string, args array<string>, client_id string, request_id bigint, proposer_id bigint, crc bigint"
+CHANGELOG = "version bigint, ts timestamp, method string, args array<string>, client_id string, request_id bigint, proposer_id bigint, crc bigint, source string"
 
 
 @dataclass(frozen=True)
@@ -60,19 +62,36 @@ class Snapshot:
     def spark(self) -> SparkSession:
         return self.nodes.sparkSession
 
+    def counts(self) -> DataFrame:
+        """(type, n): how many nodes there are of each type, and how many edges."""
+        edges = self.edges.agg(F.count("*").alias("n")).select(F.lit("edges").alias("type"), "n")
+        return self.nodes.groupBy("type").agg(F.count("*").alias("n")).unionByName(edges)
+
     def of_type(self, *types: str) -> DataFrame:
         """Names of the nodes of some types."""
         return self.nodes.where(F.col("type").isin(*types)).select(F.col("name").alias("value"))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, named by spark.checkpoint.dir; in local mode alone one of our own may stand in."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='meshset-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the folder that the cluster names in spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = sc.getConf().get("spark.checkpoint.dir")
-        if not where:
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix="meshset-")
-        sc.setCheckpointDir(where)
-    return df.checkpoint()
+    """Cut lineage: write to the shared folder and read again, which survives the loss of executors."""
+    return counted(df)[0]
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut``, and how many rows were written, in one job."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get.get("n", 0)

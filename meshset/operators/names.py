@@ -22,11 +22,7 @@ def unprefix(value: Column, env: str) -> Column:
     """Without ``env#`` at its start; never split at '#', which names may hold."""
     if not env:
         return value
-    return F.when(value.startswith(env + "#"), F.expr(f"substring({_name(value)}, {len(env) + 2})")).otherwise(value)
-
-
-def _name(c: Column) -> str:
-    return "`" + c._jc.toString().strip("`") + "`"
+    return F.when(F.startswith(value, F.lit(env + "#")), F.substr(value, F.lit(len(env) + 2))).otherwise(value)
 
 
 def resolve(names: DataFrame, snap: Snapshot, env: str, strict: bool = True) -> DataFrame:

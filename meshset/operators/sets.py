@@ -16,7 +16,20 @@ def union(a: DataFrame, b: DataFrame, distinct: bool = False) -> DataFrame:
         return a.union(b).distinct()
     both = a.select("value", F.lit(1).alias("l"), F.lit(0).alias("r")).union(b.select("value", F.lit(0), F.lit(1)))
     sums = both.groupBy("value").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    return sums.select(F.explode(F.expr("array_repeat(value, cast(greatest(l, r) as int))")).alias("value"))
+    return repeated(sums.select("value", F.greatest("l", "r").alias("times")))
+
+
+#: Copies of a value that one row of ``repeated`` stands for.
+COPIES = 10_000
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """``value`` as often as ``times`` says; a value with very many copies is dealt in portions over all tasks."""
+    portions = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("times") / COPIES).cast("long") - 1)
+    few = rows.where(F.col("times") <= COPIES).select("value", F.col("times").cast("long").alias("n"))
+    many = rows.where(F.col("times") > COPIES).select("value", "times", F.explode(portions).alias("k")).repartition("value", "k")
+    many = many.select("value", F.least(F.lit(COPIES), F.col("times") - F.col("k") * COPIES).cast("long").alias("n"))
+    return few.where("n > 0").unionByName(many).select(F.explode(F.expr("array_repeat(value, cast(n as int))")).alias("value"))
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:

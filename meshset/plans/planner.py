@@ -20,11 +20,15 @@ FOLDED = 10_000
 
 @dataclass(frozen=True)
 class Bag:
-    """A bag; ``distinct``: known to be free of duplicates; ``known``: its values, where the text alone gives them."""
+    """A bag; ``distinct``: known to be free of duplicates; ``known``: its values, where the text alone gives them.
+
+    ``ordered``: it has the order of the text; other bags have none of their own and are listed sorted.
+    """
 
     df: DataFrame
     distinct: bool = False
     known: tuple[str, ...] | None = None
+    ordered: bool = False
 
 
 class Planner:
@@ -42,7 +46,7 @@ class Planner:
 
     def listed(self, values: list[str]) -> Bag:
         df = self.spark.createDataFrame([(v,) for v in values], "value string")
-        return Bag(df, len(set(values)) == len(values), tuple(values))
+        return Bag(df, len(set(values)) == len(values), tuple(values), True)
 
     def null(self, _: s.Null) -> Bag:
         return self.listed([])
@@ -53,7 +57,7 @@ class Planner:
     literal = regex = word
 
     def sequence(self, n: s.Sequence) -> Bag:
-        return Bag(strings.sequence(self.spark, n.left, n.right), True)
+        return Bag(strings.sequence(self.spark, n.left, n.right), True, ordered=True)
 
     def group(self, n: s.Group) -> Bag:
         return self.plan(n.child)

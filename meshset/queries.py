@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshset.engine import Engine, changelist
+from meshset.engine import Engine, changelist, version_before
 from meshset.functions.context import Context
 from meshset.functions.registry import builtin
-from meshset.model import CLUSTER, ENVIRONMENT, HOST, LATEST, Snapshot
-from meshset.operators import sets, strings, traverse
+from meshset.model import CLUSTER, ENVIRONMENT, HOST, LATEST, Snapshot, Topology, shared_dir
+from meshset.operators import lookups, sets, strings, traverse
 from meshset.operators.names import prefix, resolve, unprefix
 from meshset.sources import cursor, sample, sinks
-from meshset.streaming.operators import learned
+from meshset.sources.store import Store, build
+from meshset.streaming.operators import fold, learned, read_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,8 +29,11 @@ BASE = """
     nodes AS (SELECT r_name AS name, 'ENVIRONMENT' AS type FROM region UNION ALL SELECT cluster, 'CLUSTER' FROM cl
               UNION ALL SELECT DISTINCT segment, 'CLUSTER' FROM cu UNION ALL SELECT s_name, 'HOST' FROM supplier
               UNION ALL SELECT c_name, 'HOST' FROM customer UNION ALL SELECT 'part#' || p_partkey, 'STRING' FROM part),
-    edges AS (SELECT r_name AS src, cluster AS dst FROM cl UNION ALL SELECT cluster, s_name FROM supplier JOIN cl ON s_nationkey = n_nationkey
-              UNION ALL SELECT DISTINCT cluster, segment FROM cu UNION ALL SELECT segment, c_name FROM cu),
+    edges AS (SELECT r_name AS src, cluster AS dst, CAST(n_nationkey AS BIGINT) AS fwd_ord, CAST(1 AS BIGINT) AS rev_ord FROM cl
+              UNION ALL SELECT cluster, s_name, s_suppkey, 1 FROM supplier JOIN cl ON s_nationkey = n_nationkey
+              UNION ALL SELECT DISTINCT cluster, segment, 1099511627776 + ascii(c_mktsegment), 1 FROM cu UNION ALL SELECT segment, c_name, c_custkey, 1 FROM cu
+              UNION ALL SELECT cluster, c_name, 2199023255552 + c_custkey, 2 FROM cu WHERE c_custkey % 3 = 0
+              UNION ALL SELECT DISTINCT cl.cluster, segment, 4398046511104 + ascii(c_mktsegment), 2 FROM cu JOIN cl ON cl.n_nationkey = c_nationkey + 1 WHERE cl.n_nationkey % 4 = 1),
     tags AS (SELECT c_name AS node, 'mktsegment' AS key, c_mktsegment AS value FROM customer
              UNION ALL SELECT cluster, 'nationkey', CAST(n_nationkey AS VARCHAR) FROM cl
              UNION ALL SELECT DISTINCT c_name, 'priority', o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey
@@ -39,8 +45,8 @@ DOWN = """
              UNION ALL SELECT root, dst, depth + 1 FROM down JOIN edges ON src = node)
 """
 UP = """
-    up AS (SELECT name AS root, name AS node, 0 AS depth FROM nodes WHERE type = 'HOST'
-           UNION ALL SELECT root, src, depth + 1 FROM up JOIN edges ON dst = node)
+    up AS (SELECT name AS root, name AS node, 0 AS depth, CAST([] AS BIGINT[]) AS path FROM nodes WHERE type = 'HOST'
+           UNION ALL SELECT root, src, depth + 1, list_append(path, rev_ord) FROM up JOIN edges ON dst = node)
 """
 
 
@@ -64,6 +70,10 @@ def _engine(spark: SparkSession, sf_dir: str) -> Engine:
     return Engine(sample.load(spark, sf_dir))
 
 
+def _every(snap: Snapshot) -> DataFrame:
+    return snap.nodes.select(F.col("name").alias("node"))
+
+
 def _all(snap: Snapshot, *types: str) -> DataFrame:
     return snap.of_type(*types).select(F.col("value").alias("root"), F.col("value").alias("node"))
 
@@ -78,21 +88,20 @@ def expand_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _engine(spark, sf_dir).plan("%%AFRICA")
 
 
-@query("SELECT e2.src AS value FROM edges e1 JOIN edges e2 ON e2.dst = e1.dst WHERE e1.src IN (SELECT cluster FROM cl WHERE r_name = 'AFRICA')")
+@query("SELECT src AS value FROM edges WHERE dst IN (SELECT dst FROM edges WHERE src IN (SELECT cluster FROM cl WHERE r_name = 'AFRICA'))")
 def get_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _engine(spark, sf_dir).plan("*%%AFRICA")
 
 
 @query("SELECT value FROM tags WHERE key = 'priority' AND node IN (SELECT c_name FROM cu WHERE segment = 'AFRICA#NATION_0.BUILDING')")
 def key_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    snap = _snap(spark, sf_dir)
-    hosts = snap.edges.where("src = 'AFRICA#NATION_0.BUILDING'").select(F.col("dst").alias("node"))
-    return snap.tags.where("key = 'priority'").join(hosts, "node", "left_semi").select("value")
+    return _engine(spark, sf_dir).plan('(%"AFRICA#NATION_0.BUILDING"):priority')
 
 
 @query("SELECT DISTINCT node, key FROM tags")
 def key_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _snap(spark, sf_dir).tags.select("node", "key").distinct()
+    snap = _snap(spark, sf_dir)
+    return lookups.keys(snap, _every(snap))
 
 
 @query("SELECT value FROM tags WHERE key = 'nationkey' AND node IN (SELECT cluster FROM cl WHERE r_name = 'ASIA')")
@@ -197,13 +206,13 @@ def all_clusters_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT root AS env, node, count(*) AS times FROM down JOIN nodes ON node = name WHERE type = 'HOST' GROUP BY ALL", DOWN)
 def expand_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     snap = _snap(spark, sf_dir)
-    return traverse.hosts_by_paths(_all(snap, ENVIRONMENT), snap).select(F.col("root").alias("env"), "node", "times")
+    return traverse.hosts_by_paths(_all(snap, ENVIRONMENT), snap).select(F.col("root").alias("env"), "node", F.col("times").cast("long").alias("times"))
 
 
-@query("SELECT src AS value FROM edges WHERE dst IN (SELECT s_name FROM supplier WHERE s_suppkey < 50)")
+@query("SELECT src AS value FROM edges WHERE dst IN (SELECT c_name FROM customer UNION ALL SELECT s_name FROM supplier)")
 def clusters_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     snap = _snap(spark, sf_dir)
-    bag = sample.read(spark, sf_dir, "supplier").where("s_suppkey < 50").select(F.col("s_name").alias("value"))
+    bag = sample.read(spark, sf_dir, "supplier").select("s_name").union(sample.read(spark, sf_dir, "customer").select("c_name")).toDF("value")
     return builtin()["clusters"].plan(Context(snap, snap), [bag])
 
 
@@ -221,13 +230,18 @@ def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.paths(_all(snap, ENVIRONMENT), snap).select("root", F.concat_ws("/", "path").alias("path"), "depth", "node")
 
 
-@query("SELECT src AS node, count(*) AS children FROM edges GROUP BY src")
+@query("SELECT src AS node, dst AS child, fwd_ord AS ord FROM edges")
 def simple_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     snap = _snap(spark, sf_dir)
-    return snap.edges.groupBy("src").agg(F.count("*").alias("children")).select(F.col("src").alias("node"), "children")
+    return lookups.children(snap, _every(snap))
 
 
-NEAREST = "SELECT root, node FROM (SELECT root, up.node, row_number() OVER (PARTITION BY root ORDER BY depth) AS n FROM up JOIN (SELECT DISTINCT node FROM tags WHERE key = 'ADMIN_NODE') k ON k.node = up.node) WHERE n = 1"
+def _first(order: str) -> str:
+    return f"SELECT root, node FROM (SELECT root, up.node, row_number() OVER (PARTITION BY root ORDER BY {order}) AS n FROM up JOIN (SELECT DISTINCT node FROM tags WHERE key = 'ADMIN_NODE') k ON k.node = up.node) WHERE n = 1"
+
+
+#: Breadth first: nearest, then by the ordinals on the way; depth first: by ordinals on the way, last ones first.
+NEAREST, DEEPEST = _first("depth, path"), _first("list_transform(path, lambda x: -x)")
 
 
 @query(NEAREST, UP)
@@ -236,7 +250,7 @@ def bfs_first_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.nearest_key(_all(snap, HOST), snap, "ADMIN_NODE")
 
 
-@query(NEAREST, UP)
+@query(DEEPEST, UP)
 def dfs_first_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     snap = _snap(spark, sf_dir)
     return traverse.first_key_depth_first(_all(snap, HOST), snap, "ADMIN_NODE")
@@ -250,16 +264,13 @@ def admin_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT a, b, ancestor, distance FROM (
+    """SELECT a, b, coalesce(ancestor, '') AS ancestor, coalesce(distance, -1) AS distance FROM p LEFT JOIN (
          SELECT p.a, p.b, x.node AS ancestor, CAST(x.depth + y.depth AS BIGINT) AS distance,
                 row_number() OVER (PARTITION BY p.a, p.b ORDER BY x.depth + y.depth, x.node) AS n
-         FROM (SELECT s_name AS a, c_name AS b FROM supplier JOIN customer ON s_suppkey % 1000 = c_custkey % 1000) p
-         LEFT JOIN up x ON x.root = a LEFT JOIN up y ON y.root = b AND y.node = x.node
-         WHERE y.node IS NOT NULL) WHERE n = 1
-       UNION ALL
-       SELECT a, b, '', -1 FROM (SELECT s_name AS a, s_nationkey AS i, c_name AS b, c_nationkey AS j FROM supplier JOIN customer ON s_suppkey % 1000 = c_custkey % 1000)
-       JOIN cl x ON x.n_nationkey = i JOIN cl y ON y.n_nationkey = j WHERE x.r_name <> y.r_name""",
+         FROM p JOIN near x ON x.root = a JOIN near y ON y.root = b AND y.node = x.node) AS f USING (a, b) WHERE n = 1 OR n IS NULL""",
     UP,
+    "near AS (SELECT root, node, min(depth) AS depth FROM up GROUP BY root, node)",
+    "p AS (SELECT s_name AS a, c_name AS b FROM supplier JOIN customer ON s_suppkey % 1000 = c_custkey % 1000)",
 )
 def nearest_common_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, c = sample.read(spark, sf_dir, "supplier"), sample.read(spark, sf_dir, "customer")
@@ -283,7 +294,9 @@ def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT src, dst FROM dep WHERE src IN (SELECT cluster FROM cl WHERE r_name = 'ASIA')", DEPS)
 def dependency_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample.dependency_edges(spark, sf_dir).where("startswith(src, 'ASIA#')").select("src", "dst")
+    snap = sample.load(spark, sf_dir, dependencies=True).as_of(None, "dependency")
+    of = snap.nodes.where("startswith(name, 'ASIA#')").select(F.col("name").alias("node"))
+    return lookups.children(snap, of).select(F.col("node").alias("src"), F.col("child").alias("dst"))
 
 
 SCD = f"""
@@ -293,43 +306,70 @@ SCD = f"""
 """
 
 
-@query("SELECT user_id, valid_from, valid_to FROM iv", SCD)
+def _users(spark: SparkSession, sf_dir: str) -> Topology:
+    return build(sample.event_log(spark, sf_dir))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS name, valid_from, valid_to FROM iv", SCD)
 def scd_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample.event_intervals(spark, sf_dir)
+    return _users(spark, sf_dir).nodes.select("name", "valid_from", "valid_to")
 
 
-@query("SELECT user_id, valid_from FROM iv WHERE valid_from <= 5000 AND 5000 < valid_to", SCD)
+@query("SELECT CAST(user_id AS VARCHAR) AS name, 'HOST' AS type FROM iv WHERE valid_from <= 5000 AND 5000 < valid_to", SCD)
 def snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample.event_intervals(spark, sf_dir).where("valid_from <= 5000 and 5000 < valid_to").select("user_id", "valid_from")
+    return _users(spark, sf_dir).as_of(5000).nodes
 
 
-@query("SELECT user_id, count(*) FILTER (WHERE valid_from <= 2000 AND 2000 < valid_to) AS before, count(*) FILTER (WHERE valid_from <= 8000 AND 8000 < valid_to) AS after FROM iv GROUP BY user_id", SCD)
+@query(
+    "SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'added' ELSE 'removed' END AS change FROM a FULL JOIN b USING (name) WHERE a.name IS NULL OR b.name IS NULL",
+    SCD,
+    *(f"{x} AS (SELECT CAST(user_id AS VARCHAR) AS name FROM iv WHERE valid_from <= {v} AND {v} < valid_to)" for x, v in (("a", 2000), ("b", 8000))),
+)
 def history_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda v: F.count_if((F.col("valid_from") <= v) & (F.lit(v) < F.col("valid_to")))
-    return sample.event_intervals(spark, sf_dir).groupBy("user_id").agg(at(2000).alias("before"), at(8000).alias("after"))
+    t = _users(spark, sf_dir)
+    before, after = (t.as_of(v).nodes.select("name") for v in (2000, 8000))
+    gone, new = before.join(after, "name", "left_anti"), after.join(before, "name", "left_anti")
+    return new.select("name", F.lit("added").alias("change")).unionByName(gone.select("name", F.lit("removed").alias("change")))
 
 
 @query("SELECT max(event_id) AS version FROM events WHERE ts < TIMESTAMP '2024-01-10 00:00:00'")
 def version_at_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample.read(spark, sf_dir, "events").where("ts < timestamp '2024-01-10 00:00:00'").agg(F.max("event_id").alias("version"))
+    log = sample.read(spark, sf_dir, "events").select(F.col("event_id").alias("version"), "ts")
+    return version_before(log, datetime(2024, 1, 10))
 
 
-@query("SELECT node, key, count(*) AS n, string_agg(value, ',' ORDER BY value) AS vals FROM tags GROUP BY node, key")
+@query("SELECT node, key, string_agg(value, ',' ORDER BY value) AS vals FROM tags GROUP BY node, key")
 def node_tags_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = _snap(spark, sf_dir).tags
-    return tags.groupBy("node", "key").agg(F.count("*").alias("n"), F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("val_ord", "value"))), lambda x: x.value)).alias("vals"))
+    snap = _snap(spark, sf_dir)
+    return lookups.tag_lists(snap, _every(snap)).select("node", "key", F.concat_ws(",", "values").alias("vals"))
+
+
+TREES = """
+    tj AS (SELECT node, string_agg(t, ',' ORDER BY t) AS tags FROM (SELECT node, '"' || key || '":["' || string_agg(value, '","' ORDER BY value) || '"]' AS t FROM tags GROUP BY node, key) GROUP BY node),
+    dj AS (SELECT src, '["' || string_agg(dst, '","' ORDER BY n_nationkey) || '"]' AS deps FROM dep JOIN cl ON cluster = dst GROUP BY src),
+    head AS (SELECT name, type, '{"type":"' || type || '","name":"' || name || '","tags":{' || coalesce(tags, '') || '},"dependencies":' || coalesce(deps, '[]') || ',"children":{' AS head
+             FROM nodes LEFT JOIN tj ON tj.node = name LEFT JOIN dj ON dj.src = name),
+    hostj AS (SELECT name, head || '}}' AS json FROM head WHERE type = 'HOST'),
+    segj AS (SELECT h.name, any_value(head) || string_agg('"' || dst || '":' || json, ',' ORDER BY '"' || dst || '":' || json) || '}}' AS json
+             FROM head h JOIN edges ON src = h.name JOIN hostj ON hostj.name = dst WHERE h.name IN (SELECT segment FROM cu) GROUP BY h.name),
+    under AS (SELECT * FROM hostj UNION ALL SELECT * FROM segj),
+    natj AS (SELECT h.name, any_value(head) || coalesce(string_agg('"' || dst || '":' || json, ',' ORDER BY '"' || dst || '":' || json), '') || '}}' AS json
+             FROM head h LEFT JOIN edges ON src = h.name LEFT JOIN under ON under.name = dst WHERE h.name IN (SELECT cluster FROM cl) GROUP BY h.name)
+"""
 
 
-@query()
+@query("SELECT name AS root, json FROM segj UNION ALL SELECT name, json FROM natj", DEPS, TREES)
 def expand_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = sample.load(spark, sf_dir, dependencies=True)
     snap = t.as_of()
     return traverse.tree_json(_all(snap, CLUSTER), snap, t.as_of(None, "dependency").edges, F.col("node"))
 
 
-@query("SELECT l_orderkey AS proposal, count(*) AS votes FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 5")
+@query("SELECT l_orderkey AS proposal, count(DISTINCT l_suppkey % 7) AS votes FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey % 7) >= 4")
 def learner_quorum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learned(sample.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("proposal")), accepters=7)
+    """Lines of an order are votes of seven accepters, some of which vote again."""
+    votes = sample.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("proposal"), (F.col("l_suppkey") % 7).alias("accepter"))
+    return learned(votes, accepters=6)
 
 
 @query("""SELECT '"' || src || '" -> "' || dst || '";' AS line FROM edges""")
@@ -349,24 +389,24 @@ def cursor_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edges', count(*) FROM edges")
 def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    snap = _snap(spark, sf_dir)
-    return snap.nodes.groupBy("type").agg(F.count("*").alias("n")).unionByName(snap.edges.agg(F.count("*").alias("n")).withColumn("type", F.lit("edges")))
+    return _snap(spark, sf_dir).counts()
 
 
-@query("SELECT graph FROM (VALUES ('primary'), ('dependency')) t(graph)")
+@query("SELECT DISTINCT 'primary' AS graph FROM nodes UNION SELECT DISTINCT 'dependency' FROM cl")
 def graph_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.load(spark, sf_dir, dependencies=True).graphs()
 
 
-@query("SELECT node, row_number() OVER (PARTITION BY node ORDER BY value) AS nth, value FROM tags WHERE key = 'priority'")
+@query("SELECT node, value, CAST(substr(value, 1, 1) AS BIGINT) AS ord FROM tags WHERE key = 'priority'")
 def fetch_key_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = _snap(spark, sf_dir).tags.where("key = 'priority'")
-    return values.select("node", F.row_number().over(Window.partitionBy("node").orderBy("val_ord")).cast("long").alias("nth"), "value")
+    snap = _snap(spark, sf_dir)
+    return lookups.values(snap, _every(snap), "priority")
 
 
-@query("SELECT dst AS node, src AS parent FROM edges")
+@query("SELECT dst AS node, src AS parent, rev_ord AS ord FROM edges")
 def direct_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _snap(spark, sf_dir).edges.select(F.col("dst").alias("node"), F.col("src").alias("parent"))
+    snap = _snap(spark, sf_dir)
+    return lookups.parents(snap, _every(snap))
 
 
 @query("SELECT CASE WHEN starts_with(dst, 'AFRICA#') THEN substr(dst, 8) ELSE dst END AS value FROM edges WHERE src = 'AFRICA#NATION_0'")
@@ -410,7 +450,7 @@ def has_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _engine(spark, sf_dir).plan("has(nationkey; {3,4})")
 
 
-@query("SELECT 'nationkey' AS value")
+@query("SELECT DISTINCT key AS value FROM tags WHERE node = 'AFRICA#NATION_0' AND value = '0'")
 def mem_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _engine(spark, sf_dir).plan('mem("AFRICA#NATION_0"; 0)')
 
@@ -442,3 +482,133 @@ def dot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def change_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = sample.read(spark, sf_dir, "events").select(F.col("event_id").alias("version"), "ts", F.col("event_type").alias("graph"))
     return changelist(log.select("version", "ts"), log.select("version", "graph")).select("version", F.explode("graphs").alias("graph", "graph_version"))
+
+
+_stores: dict[tuple[str, str], tuple[Store, int, list]] = {}
+
+
+def _store(spark: SparkSession, sf_dir: str) -> tuple[Store, int, list]:
+    """A store that got the sample's requests, the version after those that build, and what became of each; once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+        first, then = sample.requests(sample.nations_of(spark, sf_dir))
+        done = store.apply(first)
+        built = store.range_version()
+        _stores[key] = store, built, done + store.apply(then)
+    return _stores[key]
+
+
+def _graphs(t: Topology, version: int | None = None) -> dict[str, Snapshot]:
+    return {g: t.as_of(version, g) for g in ("primary", "dependency")}
+
+
+def _named(rows: dict[str, DataFrame]) -> DataFrame:
+    """Rows of several graphs with the graph's name."""
+    a, b = (df.withColumn("graph", F.lit(g)) for g, df in rows.items())
+    return a.unionByName(b)
+
+
+BUILT = """
+    k AS (SELECT n_nationkey AS k, n_name AS n, r_name AS r, r_name || '#' || n_name AS c, lead(r_name || '#' || n_name) OVER (ORDER BY n_nationkey) AS nx FROM nation JOIN region ON n_regionkey = r_regionkey),
+    gs AS (SELECT 'primary' AS graph UNION ALL SELECT 'dependency')
+"""
+ALL_NODES = """
+    an AS (SELECT DISTINCT r AS name, 'ENVIRONMENT' AS type FROM k UNION ALL SELECT c, 'CLUSTER' FROM k UNION ALL SELECT c || '-a', 'CLUSTER' FROM k UNION ALL SELECT c || '-b', 'CLUSTER' FROM k
+           UNION ALL SELECT 'host' || k, 'HOST' FROM k UNION ALL SELECT 'spare' || k, 'HOST' FROM k)
+"""
+LEFT = """
+    ln AS (SELECT DISTINCT r AS name, 'ENVIRONMENT' AS type FROM k WHERE r <> (SELECT max(r) FROM k) UNION ALL SELECT c, 'CLUSTER' FROM k UNION ALL SELECT c || '-a', 'CLUSTER' FROM k
+           UNION ALL SELECT c || '-b', 'CLUSTER' FROM k WHERE k % 7 <> 0 UNION ALL SELECT 'host' || k, 'HOST' FROM k UNION ALL SELECT 'spare' || k, CASE WHEN k % 12 = 1 THEN 'STRING' ELSE 'HOST' END FROM k WHERE k % 4 <> 0),
+    le AS (SELECT 'primary' AS graph, r AS src, c AS dst FROM k WHERE r <> (SELECT max(r) FROM k) AND k % 8 <> 0 UNION ALL SELECT 'primary', c, c || '-a' FROM k WHERE k % 5 <> 0
+           UNION ALL SELECT 'primary', c, c || '-b' FROM k WHERE k % 7 <> 0 UNION ALL SELECT 'primary', c || '-a', 'host' || k FROM k UNION ALL SELECT 'primary', c || '-b', 'host' || k FROM k WHERE k % 3 <> 0 AND k % 7 <> 0
+           UNION ALL SELECT 'dependency', c, c || '-a' FROM k WHERE k % 2 = 0 UNION ALL SELECT 'dependency', c, nx FROM k WHERE nx IS NOT NULL AND k % 10 <> 3),
+    lt AS (SELECT c AS node, 'rack' AS key, CASE WHEN k % 9 = 0 THEN 'new' || k ELSE 'r' || k END AS value FROM k WHERE k % 6 <> 0 UNION ALL SELECT c, 'rack', 'common' FROM k WHERE k % 6 <> 0 AND k % 2 <> 0)
+"""
+
+
+@query("SELECT graph, name, type FROM an, gs", BUILT, ALL_NODES)
+def store_nodes_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, built, _ = _store(spark, sf_dir)
+    return _named({g: s.nodes for g, s in _graphs(store.topology(), built).items()})
+
+
+@query("SELECT graph, name, type FROM ln, gs", BUILT, LEFT)
+def store_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named({g: s.nodes for g, s in _graphs(_store(spark, sf_dir)[0].topology()).items()})
+
+
+@query("SELECT graph, src, dst FROM le", BUILT, LEFT)
+def store_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named({g: s.edges.select("src", "dst") for g, s in _graphs(_store(spark, sf_dir)[0].topology()).items()})
+
+
+@query("SELECT node, key, value FROM lt", BUILT, LEFT)
+def store_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snap = _store(spark, sf_dir)[0].topology().as_of()
+    return lookups.tags(snap, _every(snap)).where("value is not null").select("node", "key", "value")
+
+
+@query("SELECT c AS node, CASE WHEN k % 6 = 0 THEN 'none' WHEN k % 9 = 0 AND k % 2 <> 0 THEN 'common,new' || k WHEN k % 9 = 0 THEN 'new' || k WHEN k % 2 <> 0 THEN 'r' || k || ',common' ELSE 'r' || k END AS vals FROM k", BUILT)
+def store_tag_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values stand in the order in which they came; an updated one comes last."""
+    snap = _store(spark, sf_dir)[0].topology().as_of()
+    of = snap.of_type(CLUSTER).where("value not like '%-_'").select(F.col("value").alias("node"))
+    return of.join(lookups.tag_lists(snap, of), "node", "left").select("node", F.when(F.col("key").isNull(), "none").otherwise(F.concat_ws(",", "values")).alias("vals"))
+
+
+COUNTS = """
+    n AS (SELECT 'create_env' AS method, count(DISTINCT r) AS n FROM k UNION ALL SELECT 'create_graph', 1 UNION ALL SELECT 'remove_env', 1
+          UNION ALL SELECT m, count(*) * f FROM k, (VALUES ('add_cluster_to_env', 1), ('add_cluster_to_cluster', 2), ('add_host_to_cluster', 2), ('add_host', 1), ('add_node_key_value', 2), ('add_node_env_dependency', 1)) v(m, f) GROUP BY m, f
+          UNION ALL SELECT 'add_node_ext_dependency', count(nx) FROM k
+          UNION ALL SELECT m, count(*) FROM k, (VALUES ('remove_node_key_value', 2), ('remove_host_from_cluster', 3), ('remove_host', 4), ('remove_cluster_from_cluster', 5), ('remove_key_from_node', 6), ('remove_cluster', 7), ('remove_cluster_from_env', 8)) v(m, f) WHERE k % f = 0 GROUP BY m
+          UNION ALL SELECT 'update_tag', count(*) FROM k WHERE k % 9 = 0 AND k % 6 <> 0 UNION ALL SELECT 'remove_node_env_dependency', count(*) FROM k WHERE k % 2 = 1
+          UNION ALL SELECT 'remove_node_ext_dependency', count(*) FROM k WHERE k % 10 = 3 UNION ALL SELECT 'set_type', count(*) FROM k WHERE k % 12 = 1)
+"""
+
+
+@query("SELECT method, CAST(n AS BIGINT) AS n FROM n WHERE n > 0", BUILT, COUNTS)
+def store_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir)[0].log().groupBy("method").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'create_env' AS method, 'CreateNode' AS error, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'update_tag', 'NodeNotFound', count(*) FROM k WHERE k % 9 = 0 AND k % 6 = 0", BUILT)
+def store_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(r.method, type(r.error).__name__) for r in _store(spark, sf_dir)[2] if r.error]
+    return spark.createDataFrame(rows, "method string, error string").groupBy("method", "error").agg(F.count("*").alias("n"))
+
+
+@query("SELECT graph FROM gs UNION ALL SELECT 'archive'", BUILT)
+def store_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir)[0].graphs()
+
+
+@query("SELECT type, name FROM ln WHERE name NOT IN (SELECT node FROM dn)", BUILT, LEFT, "dn AS (SELECT name AS node FROM ln WHERE type = 'ENVIRONMENT' UNION SELECT dst FROM dn JOIN le ON src = node WHERE graph = 'primary')")
+def store_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traverse.orphans(_store(spark, sf_dir)[0].topology().as_of())
+
+
+@query("SELECT CAST(sum(n) AS BIGINT) AS version FROM n", BUILT, COUNTS)
+def store_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return version_before(_store(spark, sf_dir)[0].log(), datetime(9999, 1, 1))
+
+
+@query("SELECT graph, name, type FROM ln, gs", BUILT, LEFT)
+def store_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log streamed into a store that held something else before, which is left out here."""
+    store = _store(spark, sf_dir)[0]
+    copy = Store(spark, f"{shared_dir(spark)}/copy-{uuid.uuid4().hex}")
+    copy.write("add_host", "elsewhere")
+    fold(read_log(spark, store.folder("log")), copy, f"{copy.path}-progress", "first store").awaitTermination()
+    return _named({g: s.nodes.where("name <> 'elsewhere'") for g, s in _graphs(copy.topology()).items()})
+
+
+@query("SELECT graph, src, dst FROM le", BUILT, LEFT)
+def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy of the store, compacted and pruned of the first half of its log: its effects stay."""
+    store, built, _ = _store(spark, sf_dir)
+    copy = Store(spark, f"{shared_dir(spark)}/compact-{uuid.uuid4().hex}")
+    fold(read_log(spark, store.folder("log")), copy, f"{copy.path}-progress").awaitTermination()
+    copy.compact()
+    copy.prune(built)
+    return _named({g: s.edges.select("src", "dst") for g, s in _graphs(copy.topology()).items()})

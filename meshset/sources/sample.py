@@ -1,4 +1,9 @@
-"""The star-schema tables as a topology: regions, nations, segments, suppliers and customers; parts are orphans."""
+"""The star-schema tables as a topology: regions, nations, segments, suppliers and customers; parts are orphans.
+
+It is no tree: every third customer is also in the cluster of its nation, and every
+fourth nation also holds the segments of the nation before it, which may lie in
+another region.  Reverse ordinals put a node's own segment or nation first.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +14,7 @@ from pyspark.sql import functions as F
 
 from meshset.model import CLUSTER, ENVIRONMENT, HOST, LATEST, STRING, Topology
 
-SEGMENT_ORD = 1 << 40
+SEGMENT_ORD, SECOND_ORD, SHARED_ORD = 1 << 40, 1 << 41, 1 << 42
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +36,14 @@ def load(spark: SparkSession, sf_dir: str, dependencies: bool = False) -> Topolo
         node(region, "r_name", ENVIRONMENT), node(nations, "cluster", CLUSTER), node(segments, "segment", CLUSTER),
         node(supplier, "s_name", HOST), node(customer, "c_name", HOST), node(read(spark, sf_dir, "part").withColumn("n", F.concat(F.lit("part#"), F.col("p_partkey").cast("string"))), "n", STRING),
     ]
-    edge = lambda df, a, b, o: df.select(F.col(a).alias("src"), F.col(b).alias("dst"), o.cast("long").alias("fwd_ord"), F.lit(1).cast("long").alias("rev_ord"))
+    edge = lambda df, a, b, o, back=1: df.select(F.col(a).alias("src"), F.col(b).alias("dst"), o.cast("long").alias("fwd_ord"), F.lit(back).cast("long").alias("rev_ord"))
+    initial = F.ascii(F.element_at(F.split("segment", "\\."), -1))
+    holders = F.broadcast(nations.where("n_nationkey % 4 = 1").select((F.col("n_nationkey") - 1).alias("before"), F.col("cluster").alias("holder")))
+    shared = cus.select("c_nationkey", "segment").distinct().join(holders, F.col("c_nationkey") == F.col("before"))
     edges = [
         edge(nations, "r_name", "cluster", F.col("n_nationkey")), edge(sup, "cluster", "s_name", F.col("s_suppkey")),
-        edge(segments, "cluster", "segment", F.lit(SEGMENT_ORD) + F.ascii(F.element_at(F.split("segment", "\\."), -1))), edge(cus, "segment", "c_name", F.col("c_custkey")),
+        edge(segments, "cluster", "segment", F.lit(SEGMENT_ORD) + initial), edge(cus, "segment", "c_name", F.col("c_custkey")),
+        edge(cus.where("c_custkey % 3 = 0"), "cluster", "c_name", F.lit(SECOND_ORD) + F.col("c_custkey"), 2), edge(shared, "holder", "segment", F.lit(SHARED_ORD) + initial, 2),
     ]
     tag = lambda df, n, k, o, v: df.select(F.col(n).alias("node"), F.lit(k).alias("key"), o.cast("long").alias("val_ord"), v.cast("string").alias("value"))
     priorities = read(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority").distinct()
@@ -66,10 +75,44 @@ def dependency_edges(spark: SparkSession, sf_dir: str, acyclic: bool = True) ->
     return pairs.join(a, F.col("c_nationkey") == F.col("ak")).join(b, F.col("s_nationkey") == F.col("bk")).select("src", "dst", F.col("s_nationkey").cast("long").alias("fwd_ord"), F.col("c_nationkey").cast("long").alias("rev_ord"))
 
 
-def event_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, valid_from, valid_to) out of the event log: a sign-up opens, an error closes; versions are event ids."""
-    from pyspark.sql import Window
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as interval events of a store: a user's sign-up opens a node, an error closes it; versions are event ids."""
+    log = read(spark, sf_dir, "events").where("event_type in ('signup', 'error')")
+    op = F.when(F.col("event_type") == "signup", "open").otherwise("close")
+    return log.select(
+        F.col("event_id").cast("long").alias("version"), F.lit(0).alias("seq"), op.alias("op"), F.lit("node").alias("kind"), F.lit("primary").alias("graph"),
+        F.col("user_id").cast("string").alias("a"), F.lit(HOST).alias("b"), F.lit(None).cast("string").alias("c"),
+    )
+
+
+def nations_of(spark: SparkSession, sf_dir: str) -> list[tuple[int, str, str]]:
+    """(key, nation, region) of the 25 nations."""
+    rows = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return [tuple(r) for r in rows.select("n_nationkey", "n_name", "r_name").orderBy("n_nationkey").collect()]
+
 
-    log = read(spark, sf_dir, "events").where("event_type in ('signup', 'error')").select("user_id", "event_id", "event_type")
-    by = Window.partitionBy("user_id").orderBy("event_id")
-    return log.withColumn("next", F.lead("event_id").over(by)).where("event_type = 'signup'").select("user_id", F.col("event_id").alias("valid_from"), F.coalesce("next", F.lit(LATEST)).alias("valid_to"))
+def requests(nations: list[tuple[int, str, str]]) -> tuple[list[tuple], list[tuple]]:
+    """Writes of every kind over the nations: those that build, and those that change what was built; a few of them are refused."""
+    envs = sorted({r for _, _, r in nations})
+    build: list[tuple] = [("create_env", (r,)) for r in envs] + [("create_graph", ("archive",)), ("create_env", (envs[0],))]
+    for k, n, r in nations:
+        build += [("add_cluster_to_env", (r, n)), ("add_cluster_to_cluster", (r, n, f"{n}-a")), ("add_cluster_to_cluster", (r, n, f"{n}-b"))]
+        build += [("add_host_to_cluster", (r, f"{n}-{x}", f"host{k}")) for x in "ab"] + [("add_host", (f"spare{k}",))]
+        build += [("add_node_key_value", (r, n, "rack", v)) for v in (f"r{k}", "common")] + [("add_node_env_dependency", (r, n, f"{n}-a"))]
+    build += [("add_node_ext_dependency", (r, n, q, m)) for (_, n, r), (_, m, q) in zip(nations, nations[1:], strict=False)]
+    change: list[tuple] = []
+    for k, n, r in nations:
+        some = {
+            2: ("remove_node_key_value", (r, n, "rack", "common")), 3: ("remove_host_from_cluster", (r, f"{n}-b", f"host{k}")), 4: ("remove_host", (r, f"spare{k}")),
+            5: ("remove_cluster_from_cluster", (r, n, f"{n}-a")), 6: ("remove_key_from_node", (r, n, "rack")), 7: ("remove_cluster", (r, f"{n}-b")), 8: ("remove_cluster_from_env", (r, n)),
+            9: ("update_tag", (r, n, "rack", f"r{k}", f"new{k}")),
+        }
+        change += [w for by, w in some.items() if k % by == 0]
+        if k % 2:
+            change.append(("remove_node_env_dependency", (r, n, f"{n}-a")))
+        if k % 10 == 3:
+            _, m, q = nations[k + 1]
+            change.append(("remove_node_ext_dependency", (r, n, q, m)))
+        if k % 12 == 1:
+            change.append(("set_type", ("", f"spare{k}", STRING)))
+    return build, [*change, ("remove_env", (envs[-1],))]
