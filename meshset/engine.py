@@ -42,7 +42,10 @@ class Engine:
         tree = syntax.parse(expression, frozenset(self.functions), self.strict_escapes)
         t = self.topology
         ctx = Context(t.as_of(version), t.as_of(version, "dependency"), env)
-        return Planner(ctx, self.functions, self.strict).plan(tree)
+        planner = Planner(ctx, self.functions, self.strict)
+        bag = planner.plan(tree)
+        planner.check()
+        return bag
 
     def plan(self, expression: str, env: str = "", version: int | None = None) -> DataFrame:
         """The bag of an expression, as column ``value``, without the environment's prefix."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meshset.functions.context import Context
 from meshset.functions.registry import RangeFunction
 from meshset.operators import sets, strings, traverse
-from meshset.operators.names import resolve
+from meshset.operators.names import refuse, resolve
 from meshset.plans import syntax as s
 
 ADMIN_KEY = "ADMIN_NODE"
@@ -23,27 +23,34 @@ class Bag:
     """A bag; ``distinct``: known to be free of duplicates; ``known``: its values, where the text alone gives them.
 
     ``ordered``: it has the order of the text; other bags have none of their own and are listed sorted.
+    ``nodes``: its values come from the graph, so they are names of nodes that exist.
     """
 
     df: DataFrame
     distinct: bool = False
     known: tuple[str, ...] | None = None
     ordered: bool = False
+    nodes: bool = False
 
 
 class Planner:
-    """Plans a tree once per distinct subtree; graph operators check unknown names at once if strict."""
+    """Plans a tree once per distinct subtree; if strict, ``check`` looks for unknown names of the whole tree in one job."""
 
     def __init__(self, ctx: Context, functions: dict[str, RangeFunction], strict: bool = True):
         self.ctx, self.functions, self.strict = ctx, functions, strict
         self.spark = ctx.snapshot.spark
         self.done: dict[s.Node, Bag] = {}
+        self.unknown: list[DataFrame] = []
 
     def plan(self, node: s.Node) -> Bag:
         if node not in self.done:
             self.done[node] = getattr(self, type(node).__name__.lower())(node)
         return self.done[node]
 
+    def check(self) -> None:
+        refuse(self.unknown)
+        self.unknown = []
+
     def listed(self, values: list[str]) -> Bag:
         df = self.spark.createDataFrame([(v,) for v in values], "value string")
         return Bag(df, len(set(values)) == len(values), tuple(values), True)
@@ -67,23 +74,23 @@ class Planner:
         if a.known is not None and b.known is not None and a.distinct and b.distinct and len(a.known) + len(b.known) <= FOLDED:
             return self.listed(sorted({*a.known, *b.known}, key=str.encode))
         both = a.distinct and b.distinct
-        return Bag(sets.union(a.df, b.df, both), both)
+        return Bag(sets.union(a.df, b.df, both), both, nodes=a.nodes and b.nodes)
 
     def _filtered(self, n: s.Difference | s.Intersection, keep: bool) -> Bag:
         a = self.plan(n.left)
-        return Bag(sets.matching(a.df, n.right.text, keep == n.right.positive), a.distinct)
+        return Bag(sets.matching(a.df, n.right.text, keep == n.right.positive), a.distinct, nodes=a.nodes)
 
     def difference(self, n: s.Difference) -> Bag:
         if isinstance(n.right, s.Regex):
             return self._filtered(n, keep=False)
         a, b = self.plan(n.left), self.plan(n.right)
-        return Bag(sets.difference(a.df, b.df), a.distinct)
+        return Bag(sets.difference(a.df, b.df), a.distinct, nodes=a.nodes)
 
     def intersection(self, n: s.Intersection) -> Bag:
         if isinstance(n.right, s.Regex):
             return self._filtered(n, keep=True)
         a, b = self.plan(n.left), self.plan(n.right)
-        return Bag(sets.intersection(a.df, b.df), a.distinct or b.distinct)
+        return Bag(sets.intersection(a.df, b.df), a.distinct or b.distinct, nodes=a.nodes or b.nodes)
 
     def brace(self, n: s.Brace) -> Bag:
         bags = [self.plan(x) for x in (n.left, n.centre, n.right)]
@@ -100,17 +107,20 @@ class Planner:
         return Bag(got) if got is not None else self.null(s.Null())
 
     def _nodes(self, child: s.Node) -> DataFrame:
-        return resolve(self.plan(child).df, self.ctx.snapshot, self.ctx.env, self.strict)
+        bag = self.plan(child)
+        if bag.nodes:
+            return bag.df.withColumn("node", F.col("value"))
+        return resolve(bag.df, self.ctx.snapshot, self.ctx.env, self.strict, self.unknown)
 
     def expand(self, n: s.Expand) -> Bag:
         if isinstance(n.child, s.KeyExpand):
             return Bag(self.plan(n.child).df.distinct(), True)
         edges = self.ctx.snapshot.edges
-        return Bag(self._nodes(n.child).join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("value")).distinct(), True)
+        return Bag(self._nodes(n.child).join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("value")).distinct(), True, nodes=True)
 
     def getcluster(self, n: s.GetCluster) -> Bag:
         edges = self.ctx.snapshot.edges
-        return Bag(self._nodes(n.child).join(edges, F.col("node") == F.col("dst")).select(F.col("src").alias("value")))
+        return Bag(self._nodes(n.child).join(edges, F.col("node") == F.col("dst")).select(F.col("src").alias("value")), nodes=True)
 
     def keyexpand(self, n: s.KeyExpand) -> Bag:
         tags = self.ctx.snapshot.tags.withColumnRenamed("node", "of").withColumnRenamed("value", "tag")

@@ -25,12 +25,16 @@ def fold(log: DataFrame, into: Store, checkpoint: str, source: str = "log", rows
     Each request keeps its time and client, and is known in the target by
     ``source`` and its version there; refused ones are remembered.  So whatever the
     target held before, a batch that comes again is skipped up to the last request
-    that was applied or refused.  A request whose checksum is wrong stops the query.
+    that was applied or refused.  A request whose checksum is wrong stops the query, and
+    so does one that comes after later ones, for it can't be applied in order any more.
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        known = into.log().select("source", "request_id").union(into.refused().select("source", "request_id"))
-        done = known.where(F.col("source") == source).agg(F.max("request_id")).first()[0] or 0
+        known = into.log().select("source", "request_id").union(into.refused().select("source", "request_id")).where(F.col("source") == source)
+        done = known.agg(F.max("request_id")).first()[0] or 0
+        late = df.where(F.col("version") <= done).join(known.withColumnRenamed("request_id", "version"), "version", "left_anti")
+        if missed := [r.version for r in late.select("version").limit(5).collect()]:
+            raise CorruptLog(f"versions {missed} of {source} come after {done}")
         todo = df.where(F.col("version") > done)
         if bad := [r.version for r in corrupt(todo).select("version").limit(5).collect()]:
             raise CorruptLog(f"versions {bad} of {source}")
