@@ -39,7 +39,7 @@ from meshset.llm.common import drop_scratch, materialise, record, runs, tidy
 K = 5
 ORDER = 3
 HOT = 1e-3
-BATCH_TOKENS = 1_000_000
+BATCH_TOKENS = 700_000
 SHARD_TOKENS = 1_500_000
 #: The end token's hash; words have others.  The id of the begin is 0, words have ids from 1.
 END = 1
@@ -288,7 +288,7 @@ class Local:
 
     def __init__(self, r: dict, order: int, model: Model, shards: int):
         self.r, self.model, self.shards = r, model, shards
-        tokens = expand(r["tokens"], "<u4").astype(np.int64)
+        tokens = expand(r["tokens"], "<u4").astype(np.int32)
         self.sizes, self.held = np.array(r["sizes"], np.int64), np.array(r["held"], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.offset = np.arange(len(tokens)) - np.repeat(self.starts, self.sizes)
@@ -300,23 +300,23 @@ class Local:
         self.word: dict[int, np.ndarray] = {}
         self.suffix: dict[int, np.ndarray] = {}
         self.hashes = {1: _mix(self.ids)}
-        #: Of order k, by gram of order k - 1: whether it freed nothing, its words with count 1..K, their lower mass.
+        #: Of order k, by gram of order k - 1: whether it frees nothing, what it frees, the lower mass of its words.
         self.none: dict[int, np.ndarray] = {}
-        self.heads: dict[int, np.ndarray] = {}
+        self.freed: dict[int, np.ndarray] = {}
         self.seen: dict[int, np.ndarray] = {}
         for k in range(2, order + 1):
             self._grams(k)
 
     def _grams(self, k: int) -> None:
         there = np.flatnonzero(self.offset >= k - 2)
-        before = self.at[k - 1][there - 1]
+        before = self.at[k - 1][there - 1].astype(np.int64)
         if k == 2:
             before = np.where(self.offset > 0, before, 0)
         kinds, inverse = ranked(before * len(self.ids) + self.at[1][there])
-        self.at[k] = np.full(len(self.offset), -1, np.int64)
+        self.at[k] = np.full(len(self.offset), -1, np.int32)
         self.at[k][there] = inverse
-        self.hist[k], self.word[k] = kinds // len(self.ids), kinds % len(self.ids)
-        self.suffix[k] = np.empty(len(kinds), np.int64)
+        self.hist[k], self.word[k] = (kinds // len(self.ids)).astype(np.int32), (kinds % len(self.ids)).astype(np.int32)
+        self.suffix[k] = np.empty(len(kinds), np.int32)
         self.suffix[k][inverse] = self.at[k - 1][there]
         with np.errstate(over="ignore"):
             self.hashes[k] = _mix(self.hashes[k - 1][self.hist[k]] * np.uint64(3) + self.hashes[1][self.word[k]])
@@ -346,22 +346,21 @@ class Local:
         """Take in what the shards answered for order k."""
         size = len(self.counts[k - 1])
         self.counts[k], self.none[k] = np.zeros(len(self.hist[k]), np.int64), np.zeros(size, bool)
-        self.heads[k], self.seen[k] = np.zeros((size, K)), np.zeros(size)
-        told, hot = {a["shard"]: a for a in answers}, self.hot(k)
+        self.freed[k], self.seen[k] = np.zeros(size), np.zeros(size)
+        told, hot, level = {a["shard"]: a for a in answers}, self.hot(k), self.model.levels[k]
         for s, p in self.parts(k):
             a = told[s]
             self.counts[k][p] = expand(a["counts"], "<i8")
             start, h = self.histories(k, p)
             self.none[k][h] = expand(a["none"], "?")
             asked = h[(np.minimum.reduceat(self.counts[k][p], start) == 0) & (self.counts[k - 1][h] > 0) & ~hot[h]]
-            self.heads[k][asked] = expand(a["heads"], "<u4").reshape(-1, K)
+            self.freed[k][asked] = expand(a["heads"], "<u4").reshape(-1, K) @ level.discounts.freed
             self.seen[k][asked] = expand(a["seen"], "<f8")
-        if k in self.model.levels:
-            g = np.flatnonzero(hot)
-            for x, name in zip(g.tolist(), zip(*(c.tolist() for c in self.names(k - 1, g)), strict=True), strict=True):
-                if name in self.model.levels[k].hot:
-                    self.heads[k][x], self.seen[k][x] = self.model.levels[k].hot[name]
-                    self.none[k][x] = not self.heads[k][x].any()
+        g = np.flatnonzero(hot)
+        for x, name in zip(g.tolist(), zip(*(c.tolist() for c in self.names(k - 1, g)), strict=True), strict=True):
+            if name in level.hot:
+                heads, self.seen[k][x] = level.hot[name]
+                self.freed[k][x], self.none[k][x] = heads @ level.discounts.freed, not heads.any()
 
     def probabilities(self, order: int, lower: np.ndarray) -> np.ndarray:
         """The probability of each gram of an order, from its history's counts or else from those of the order below."""
@@ -370,7 +369,7 @@ class Local:
         lower, d = lower[self.suffix[order]], self.model.levels[order].discounts
         h, r = self.hist[order], self.counts[order]
         sizes, none = self.counts[order - 1], self.none[order]
-        freed = np.where(none, 1.0, self.heads[order] @ d.freed) / np.maximum(1, sizes + none)
+        freed = np.where(none, 1.0, self.freed[order]) / np.maximum(1, sizes + none)
         weight = np.where(sizes > 0, freed / np.maximum(1 - self.seen[order], 1e-300), 1.0)
         return np.where(r > 0, d.of(r) * r / np.maximum(1, sizes + none)[h], weight[h] * lower)
 
