@@ -11,7 +11,7 @@ each transition is worked out once and kept.
 
 Which characters are letters, numbers or white space, and how text is normalised,
 is asked of the tokenizer file's own normalizer and splitter, as the answers
-depend on their version of Unicode; ASCII needs no asking.
+depend on their version of Unicode; ASCII and common letters need no asking.
 """
 
 from __future__ import annotations
@@ -250,8 +250,11 @@ class WordBpe:
     run of other characters are kept in a table of bounded size.
     """
 
-    #: The file's pattern for text that is ASCII and lower case already.
-    PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\s0-9a-z]+")
+    #: Letters of common scripts that all versions of Unicode treat alike, and what may stand between them; no marks.
+    LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u04ff\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fef"
+    ODD = regex.compile(f"[^\x00-\x7f{LETTERS}\u00a0-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2010-\u2027]")
+    #: The file's pattern for text of such characters.
+    PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
     LONG, BLOCK = 1 << 12, 1 << 16
 
     def __init__(self, path: str, kept: int = 700_000):
@@ -274,7 +277,7 @@ class WordBpe:
 
     def _split(self, run: str) -> list[bytes]:
         """The pieces of a run of other characters than white space, as the file's normalizer and splitter make them."""
-        if run.isascii():
+        if run.isascii() or not self.ODD.search(run):
             run = run.lower()
             return [run.encode()] if run.isalpha() else [x.encode() for x in self.PIECE.findall(run)]
         norm, raw = self.v.library.normalizer.normalize_str(run), self.v.bytes_of
@@ -292,7 +295,7 @@ class WordBpe:
 
     def runs(self, text: str) -> list[str]:
         """The text's runs of characters other than white space; composing and lower-casing never reach over it."""
-        if text.isascii():
+        if text.isascii() or not self.ODD.search(text):
             text = text.lower()
         return [w for w in regex.split(f"[{WS}]+", text) if w] if _ODD_SPACE.search(text) else text.split()
 

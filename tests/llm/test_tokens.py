@@ -44,6 +44,18 @@ def test_all_planes():
         assert token_counts.count_text(byte_bpe(BYTE), text, 4) == len(ids(BYTE, text)), ascii(text)
 
 
+def test_common_letters():
+    """Every character that the splitter is not asked about, in both cases, between others; and marks after letters."""
+    bpe = word_bpe(WORD)
+    plain = [c for c in map(chr, range(0x20, 0xA000)) if not bpe.ODD.match(c)]
+    assert len(plain) > 20_000
+    for k in range(0, len(plain), 7):
+        text = "x" + "".join(plain[k : k + 7]) + " Y" + "1 ".join(plain[k : k + 7])
+        assert array("I", bpe.ids_bytes(text)).tolist() == ids(WORD, text), ascii(text)
+    for text in ("J\u030c İI\u0307 H\u0331", "ÉCOLE É E\u0301 ẞ", "ΣΑΣ Ǆ ŉ"):
+        assert array("I", bpe.ids_bytes(text)).tolist() == ids(WORD, text), ascii(text)
+
+
 def test_contractions_and_spaces():
     """Cuts within contractions and runs of white space, with what may follow them."""
     parts = ["'", "'s", "'re", "'r", "'ll", "'l", "'ve", " ", "  ", "\n", "\t ", "x", "re", "9", "!", "é", "''"]
