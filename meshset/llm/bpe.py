@@ -197,8 +197,23 @@ class Machine:
         return got
 
     def encode(self, symbols: list[int] | bytes) -> list[int]:
-        """Ids of one piece."""
-        return [i for ids in self.stream(symbols) for i in ids]
+        """Ids of one piece; a short one needs no look at what is settled on the way."""
+        if len(symbols) >= 8 * self.v.longest:
+            return [i for ids in self.stream(symbols) for i in ids]
+        if len(self.states) > self.max_states:
+            self.reset()
+        get, build, s, hits = self.next.get, self.build, 0, []
+        for c in symbols:
+            hit = get(s << 9 | c) or build(s, c)
+            s = hit >> 27
+            hits.append(hit)
+        out, width, end = [], self.v.width, len(hits)
+        while end > 0:
+            t = hits[end - 1] >> 10 & 131071
+            out.append(t)
+            end -= width[t]
+        out.reverse()
+        return out
 
     def stream(self, symbols: Iterable[int]) -> Iterator[list[int]]:
         """Ids of one piece, emitted as soon as no later symbol can change them.
