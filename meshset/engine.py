@@ -18,6 +18,7 @@ from meshset.operators import lookups, traverse
 from meshset.operators.names import prefixed, unprefix
 from meshset.plans import syntax
 from meshset.plans.planner import Bag, Planner
+from meshset.sources import sinks
 from meshset.sources.store import ARITY, Store
 
 
@@ -132,6 +133,19 @@ class Engine:
         rows = traverse.tree_json(root, snap, self.snapshot(version, "dependency").edges, unprefix(F.col("node"), env), depth)
         return json.loads(rows.first()["json"])
 
+    def project(self, env: str, node: str, version: int | None = None) -> dict:
+        """A node by itself: type, name, tags, dependencies, and its children as (type, name), in order."""
+        name, kind = self._node(env, node, version)
+        rows = lookups.typed_children(*self._one(name, version)).orderBy("ord", "child").select("type", unprefix(F.col("child"), env))
+        return {
+            "type": kind, "name": name.removeprefix(f"{env}#"), "tags": self.fetch_all_keys(env, node, version), "dependencies": self.dependencies(env, node, version),
+            "children": [] if kind == HOST else [tuple(r) for r in rows.collect()],
+        }
+
+    def dot(self, version: int | None = None, graph: str = "primary", nested: bool = False) -> str:
+        """A graph, of what contains what or of dependencies, as DOT text."""
+        return sinks.dot(self.snapshot(version, graph), nested)
+
     def expand_cluster(self, env: str, cluster: str, version: int | None = None, depth: int | None = None) -> dict:
         return self.expand(env, cluster, version, depth, CLUSTER)
 

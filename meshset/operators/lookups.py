@@ -17,6 +17,12 @@ def children(snap: Snapshot, nodes: DataFrame) -> DataFrame:
     return snap.edges.join(nodes.select("node"), F.col("src") == F.col("node"), "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("child"), F.col("fwd_ord").alias("ord"))
 
 
+def typed_children(snap: Snapshot, nodes: DataFrame) -> DataFrame:
+    """(node, type, child, ord): forward edges with the types of their ends."""
+    types = snap.nodes.select(F.col("name").alias("child"), "type")
+    return children(snap, nodes).join(types, "child").select("node", "type", "child", "ord")
+
+
 def parents(snap: Snapshot, nodes: DataFrame) -> DataFrame:
     """(node, parent, ord): reverse edges."""
     return snap.edges.join(nodes.select("node"), F.col("dst") == F.col("node"), "left_semi").select(F.col("dst").alias("node"), F.col("src").alias("parent"), F.col("rev_ord").alias("ord"))

@@ -377,6 +377,17 @@ def dot_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.dot_lines(_snap(spark, sf_dir))
 
 
+@query("""SELECT '"' || src || '" -> "' || dst || '";' AS line FROM dep""", DEPS)
+def dot_dependency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.dot_lines(sample.load(spark, sf_dir, dependencies=True).as_of(None, "dependency"))
+
+
+@query("SELECT src AS node, type, dst AS child, fwd_ord AS ord FROM edges JOIN nodes ON dst = name")
+def node_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snap = _snap(spark, sf_dir)
+    return lookups.typed_children(snap, _every(snap))
+
+
 @query("SELECT name, type FROM nodes WHERE name > 'Customer#000000007' ORDER BY name LIMIT 50")
 def cursor_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cursor.page(_snap(spark, sf_dir), 50, after="Customer#000000007")

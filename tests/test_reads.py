@@ -58,6 +58,19 @@ def test_reads(engine):
         engine.expand_cluster("rail", "mill-signal1")
 
 
+def test_projection_and_dot(engine):
+    coast = engine.project("rail", "coast")
+    assert coast["type"] == "CLUSTER" and coast["name"] == "coast" and coast["tags"]["crew"] == ["Zoe", "Abe", "Kim"] and coast["dependencies"] == []
+    assert coast["children"] == [("CLUSTER", "bay"), ("CLUSTER", "cliff"), ("CLUSTER", "dune")]
+    assert engine.project("rail", "valley")["dependencies"] == ["dune"] and engine.project("rail", "")["children"] == [("CLUSTER", "coast"), ("CLUSTER", "valley")]
+    signal = engine.project("rail", "mill-signal1")
+    assert signal["type"] == "HOST" and signal["children"] == [] and set(signal["tags"]) == {"built"}
+    with pytest.raises(errors.NodeNotFound):
+        engine.project("rail", "harbour")
+    assert engine.dot(graph="dependency") == 'digraph topology {\n"rail#dune" -> "rail#bay";\n"rail#valley" -> "rail#dune";\n}\n'
+    assert engine.dot().count("->") == 23 and "subgraph" in engine.dot(nested=True)
+
+
 def test_ancestors(engine):
     for search in (engine.bfs_search_parents_for_first_key, engine.dfs_search_parents_for_first_key):
         assert search("rail", "mill-signal3", "crew") == ("mill", ["Zoe", "Abe", "Kim"])
