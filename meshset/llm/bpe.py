@@ -257,12 +257,11 @@ class Machine:
         return got
 
 
-class WordBpe:
-    """Lower-casing BPE with word ends (NFC, white space dropped): texts to ids and back.
+class _Words:
+    """Texts of a lower-casing file with word ends (NFC, white space dropped) to ids; the merges are a subclass's.
 
-    ``ids_bytes`` gives a text's ids as little-endian 32-bit integers, ``stream``
-    the same in blocks.  Pieces never reach over white space, so the ids of each
-    run of other characters are kept in a table of bounded size.
+    Pieces never reach over white space, so the ids of each run of other characters
+    are kept in a table of bounded size.
     """
 
     #: Letters of common scripts that all versions of Unicode treat alike, and what may stand between them; no marks.
@@ -270,33 +269,28 @@ class WordBpe:
     ODD = regex.compile(f"[^\x00-\x7f{LETTERS}\u00a0-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2010-\u2027]")
     #: The file's pattern for text of such characters.
     PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
-    LONG, BLOCK = 1 << 12, 1 << 16
 
-    def __init__(self, path: str, kept: int = 700_000):
-        self.v = Vocabulary(path)
-        kinds = [n["type"] for n in (self.v.spec["normalizer"] or {}).get("normalizers", [])]
-        if kinds != ["NFC", "Replace", "Lowercase"] or not self.v.suffix:
+    def __init__(self, spec: dict, library: Tokenizer, kept: int):
+        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        if kinds != ["NFC", "Replace", "Lowercase"] or not spec["model"].get("end_of_word_suffix"):
             raise ValueError("this file is not a lower-casing BPE with word ends")
-        self.machine = Machine(self.v)
-        self.special = regex.compile("|".join(map(regex.escape, self.v.special))) if self.v.special else None
+        self.library = library
+        self.bytes_of = {c: b for b, c in byte_alphabet().items()}
+        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
         self.table = _Table(self._run, kept)
         self.pieces = _Table(self._piece, kept // 2)
 
-    def _symbols(self, piece: bytes) -> list[int]:
-        symbols = [*piece]
-        symbols[-1] += END_OF_WORD
-        return symbols
-
     def _piece(self, piece: bytes) -> bytes:
-        return array("I", self.machine.encode(self._symbols(piece))).tobytes()
+        raise NotImplementedError
 
     def _split(self, run: str) -> list[bytes]:
         """The pieces of a run of other characters than white space, as the file's normalizer and splitter make them."""
         if run.isascii() or not self.ODD.search(run):
             run = run.lower()
             return [run.encode()] if run.isalpha() else [x.encode() for x in self.PIECE.findall(run)]
-        norm, raw = self.v.library.normalizer.normalize_str(run), self.v.bytes_of
-        return [bytes(map(raw.__getitem__, x)) for x, _ in self.v.library.pre_tokenizer.pre_tokenize_str(norm)]
+        norm, raw = self.library.normalizer.normalize_str(run), self.bytes_of
+        return [bytes(map(raw.__getitem__, x)) for x, _ in self.library.pre_tokenizer.pre_tokenize_str(norm)]
 
     def _run(self, run: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self._split(run)))
@@ -305,8 +299,6 @@ class WordBpe:
         """Start all tables anew, where other work follows in the same process."""
         self.table.clear()
         self.pieces.clear()
-        self.machine.reset()
-        self.v._apart.clear()
 
     def runs(self, text: str) -> list[str]:
         """The text's runs of characters other than white space; composing and lower-casing never reach over it."""
@@ -320,9 +312,9 @@ class WordBpe:
     def _parts(self, text: str) -> Iterator[tuple[str, int | None]]:
         """What lies between special strings, and the id of the one that follows."""
         at = 0
-        if any(s in text for s in self.v.special):
+        if any(s in text for s in self.specials):
             for m in self.special.finditer(text):
-                yield text[at : m.start()], self.v.special[m[0]]
+                yield text[at : m.start()], self.specials[m[0]]
                 at = m.end()
         yield text[at:] if at else text, None
 
@@ -330,6 +322,35 @@ class WordBpe:
         out = [self._plain(x) + (b"" if i is None else i.to_bytes(4, "little")) for x, i in self._parts(text or "")]
         return out[0] if len(out) == 1 else b"".join(out)
 
+
+class WordBpe(_Words):
+    """Lower-casing BPE with word ends (NFC, white space dropped): texts to ids and back.
+
+    ``ids_bytes`` gives a text's ids as little-endian 32-bit integers, ``stream``
+    the same in blocks.  Pieces never reach over white space, so the ids of each
+    run of other characters are kept in a table of bounded size.
+    """
+
+    LONG, BLOCK = 1 << 12, 1 << 16
+
+    def __init__(self, path: str, kept: int = 700_000):
+        self.v = Vocabulary(path)
+        super().__init__(self.v.spec, self.v.library, kept)
+        self.machine = Machine(self.v)
+
+    def _symbols(self, piece: bytes) -> list[int]:
+        symbols = [*piece]
+        symbols[-1] += END_OF_WORD
+        return symbols
+
+    def _piece(self, piece: bytes) -> bytes:
+        return array("I", self.machine.encode(self._symbols(piece))).tobytes()
+
+    def forget(self) -> None:
+        super().forget()
+        self.machine.reset()
+        self.v._apart.clear()
+
     def stream(self, text: str | None) -> Iterator[list[int]]:
         """A text's ids in blocks; no block grows with the text, not even where it has no white space."""
         for part, special in self._parts(text or ""):
@@ -355,6 +376,25 @@ class WordBpe:
         yield text[at:] if at else text
 
 
+class WordIds(_Words):
+    """Texts to ids of the same file with the merges of the tokenizers library, for work that needs ids of whole texts only.
+
+    A process holds no tables of the merges in Python: it starts sooner, is smaller, and a new piece costs less.
+    """
+
+    def __init__(self, path: str, kept: int = 700_000):
+        with open(path, encoding="utf-8") as f:
+            super().__init__(json.load(f), Tokenizer.from_file(path), kept)
+        self.merge = self.library.model.tokenize
+        self.printable = {b: c for b, c in byte_alphabet().items() if chr(b) != c}
+
+    def _piece(self, piece: bytes) -> bytes:
+        text = piece.decode("latin-1")
+        if not (text.isascii() and text.isprintable()):
+            text = text.translate(self.printable)
+        return array("I", [t.id for t in self.merge(text)]).tobytes()
+
+
 class ByteBpe:
     """Byte-level BPE whose pieces start at white space, as one transducer over the characters of whole texts.
 
@@ -501,6 +541,13 @@ def word_bpe(path: str, kept: int = 700_000) -> WordBpe:
     return WordBpe(path, kept)
 
 
+@lru_cache(maxsize=4)
+def word_ids(path: str, kept: int = 700_000) -> WordIds:
+    """One per worker process and size of its word table; the size changes speed and memory, not results."""
+    gc.set_threshold(500_000, 20, 100)  # the table is large and has no cycles
+    return WordIds(path, kept)
+
+
 @lru_cache(maxsize=4)
 def byte_bpe(path: str) -> ByteBpe:
     """One per worker process."""

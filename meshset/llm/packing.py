@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshset.llm.bpe import word_bpe
-from meshset.llm.common import materialise, record
+from meshset.llm.bpe import word_ids
+from meshset.llm.common import materialise, record, slices, tidy
 
 Pattern = tuple[int, list[tuple[int, int]]]
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, local_rank long"
@@ -154,8 +154,8 @@ def pieces(df: DataFrame, path: str, capacity: int, id_col: str, text_col: str,
     """Tokenize; cut only what is longer than a sequence; number pieces of each length within the partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, seen, pid = word_bpe(path, kept), [0] * (capacity + 1), TaskContext.get().partitionId()
-        for b in batches:
+        bpe, seen, pid = word_ids(path, kept), [0] * (capacity + 1), TaskContext.get().partitionId()
+        for b in (part for whole in batches for part in slices(whole)):
             out: dict[str, list] = {x.split()[0]: [] for x in PIECES.split(", ")}
             for doc, ids in zip(b.column(0).to_pylist(), map(bpe.ids_bytes, b.column(1).to_pylist()), strict=True):
                 ids = memoryview(ids + b"\0\0\0\0")
@@ -170,6 +170,7 @@ def pieces(df: DataFrame, path: str, capacity: int, id_col: str, text_col: str,
             yield record(out, PIECES)
         if forget:
             bpe.forget()
+            tidy()
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 

@@ -2,18 +2,21 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from array import array
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from meshset.llm import bpe_codec, packing, token_counts
-from meshset.llm.bpe import byte_bpe, word_bpe
+from meshset.llm.bpe import byte_bpe, word_bpe, word_ids
 from meshset.llm.queries import tokenizer
 
 WORD, BYTE = tokenizer("word_bpe_49k.json"), tokenizer("byte_bpe_50k.json")
@@ -203,3 +206,35 @@ def test_plan_fills_exactly():
     """Gaps that one, two or three others fill exactly are filled."""
     for counts, n in (({30: 4, 20: 4}, 4), ({29: 3, 13: 3, 8: 3}, 3), ({23: 2, 14: 2, 9: 2, 4: 2}, 2), ({50: 2, 25: 4, 10: 5}, 5)):
         assert sum(k for k, _ in packing.plan(counts, 50)) == n
+
+
+def test_packing_workers_stay_small(spark, monkeypatch):
+    """After its task a worker of the packing holds no tables of merges in Python, and with ``forget`` no words."""
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rnd = random.Random(3)
+    texts = [" ".join("".join(rnd.choices("abcdeghimnorstu", k=rnd.randrange(3, 10))) for _ in range(200)) for _ in range(50)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    tracemalloc.start()
+    try:
+        run = packing.pieces(Rows(), WORD, 2048, "doc_id", "text", 99_999, True)
+        got = [n for b in run(iter([batch])) for n in b.column(3).to_pylist()]
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert got == [len(ids(WORD, t)) + 1 for t in texts]
+    assert held < 10e6
+
+
+@settings(max_examples=300, deadline=None)
+@given(ANY)
+def test_packing_ids(text):
+    for t in (text, text + "<|endoftext|>" + text, "<|ENDOFTEXT|>" + text):
+        assert array("I", word_ids(WORD, 50).ids_bytes(t)).tolist() == ids(WORD, t)
